@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import bpe, simhash
+from kelpie.llm import bpe, interpolation, simhash, sstable, wordpiece
 from kelpie.llm.common import table
 
 
@@ -15,12 +15,27 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op9_sstable_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_token_counts": op7_token_counts,
+    "op9_sstable_round_trip": op9_sstable_round_trip,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
