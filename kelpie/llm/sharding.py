@@ -54,23 +54,14 @@ def difference(partials: list[list[tuple[int, int]]], ways: int) -> list[list[in
     order = len(partials)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        if len(a) < len(b):
-            a, b = b, a
-        overlap = max(0, len(a) + len(b) - ways)
-        # The largest of b meet the empty places of a, then, as far as b reaches, the smallest sets of a meet the smallest of b's rest, oppositely ordered.
-        free = len(b) - overlap
-        sets = a[: len(a) - overlap] + b[:free]
-        for (x, s), (y, t) in zip(reversed(a[len(a) - overlap :]), b[free - 0 :] if False else b[:0], strict=False):
-            sets.append((x + y, s))
-        if overlap:
-            # Place i from the top of a meets place ways-1-i from the top of b: a's smallest sets are opposite b's smallest only past the empty ones.
-            sets = a[: ways - len(b)] + [None] * 0
-            for i in range(ways - len(b), len(a)):
-                (x, s), (y, t) = a[i], b[ways - 1 - i]
-                halves[fresh] = (s, t)
-                sets.append((x + y, fresh))
-                fresh += 1
-            sets += b[: ways - len(a)]
+        # Place i from the top of a meets place ways - 1 - i from the top of b; most places may be empty.
+        alone = max(len(a), ways - len(b))
+        sets = a[: ways - len(b)] + b[: ways - alone]
+        for i in range(ways - len(b), len(a)):
+            (x, s), (y, t) = a[i], b[ways - 1 - i]
+            halves[fresh] = (s, t)
+            sets.append((x + y, fresh))
+            fresh += 1
         sets.sort(reverse=True)
         spread = sets[0][0] - (sets[-1][0] if len(sets) == ways else 0)
         heapq.heappush(heap, (-spread, order, sets))
