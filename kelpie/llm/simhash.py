@@ -128,3 +128,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
     named = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("reached", "least").alias("component_id"))
     out = lookup_join(fps, named, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_each(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 5) -> DataFrame:
+    """Of every group of near-duplicates the row of the smallest doc_id, with all columns of docs; rows without a doc_id cannot be told apart and all stay."""
+    kept = near_duplicates(docs, words, distance, segments).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = materialize(kept.withColumnRenamed("doc_id", "_kept"), "simhash-kept")
+    named = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    if kept.filter("_rows > 1").limit(1).count():  # repeated rows of a kept document
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
