@@ -1 +1 @@
-
+"""Readers and writers of vector tables, manifests and reports."""
