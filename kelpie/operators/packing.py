@@ -18,7 +18,7 @@ def packed_bytes(codes: DataFrame, keys: list[str], order: str, bits: int, code:
     """(keys, byte, packed): little lanes of `bits` bits in the order given by the dense position `order` (from 0); the last byte is filled with zeros."""
     lanes = 8 // bits
     place = F.col(order)
-    value = F.shiftleft(F.col(code).cast("int").bitwiseAND(F.lit((1 << bits) - 1)), 0)
+    value = F.col(code).cast("int").bitwiseAND(F.lit((1 << bits) - 1))
     shifted = (value * F.pow(F.lit(2), (place % lanes) * bits)).cast("long")
     return codes.select(*keys, F.floor(place / lanes).cast("long").alias("byte"), shifted.alias("_v")).groupBy(*keys, "byte").agg(F.sum("_v").alias("packed"))
 
@@ -33,7 +33,8 @@ def bit_planes(codes: Column) -> Column:
     """The transposed bits of an array of D bytes (D a multiple of 8): 8 planes of D / 8 packed bytes, low bits first."""
     groups = F.sequence(F.lit(0), F.floor(F.size(codes) / 8).cast("int") - 1)
     planes = F.sequence(F.lit(0), F.lit(7))
-    byte = lambda p, g: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, k: s + F.expr("0") + F.when(F.get(codes, g * 8 + k).cast("int").bitwiseAND(F.pow(F.lit(2), p).cast("int")) > 0, F.pow(F.lit(2), k).cast("int")).otherwise(F.lit(0)))
+    bit = lambda p, g, k: F.get(codes, g * 8 + k).cast("int").bitwiseAND(F.pow(F.lit(2), p).cast("int")) > 0
+    byte = lambda p, g: F.aggregate(planes, F.lit(0), lambda s, k: s + F.when(bit(p, g, k), F.pow(F.lit(2), k).cast("int")).otherwise(F.lit(0)))
     return F.flatten(F.transform(planes, lambda p: F.transform(groups, lambda g: byte(p, g))))
 
 

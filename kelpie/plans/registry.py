@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kelpie.plans import scans  # noqa: F401
+from kelpie.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
