@@ -79,20 +79,6 @@ def nrmse_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nrmse_objects(spark, sf_dir).groupBy("multiplier").agg(r6(F.sqrt(F.sum("sse") / F.sum("energy"))).alias("nrmse"), r6(F.sqrt(F.sum("fp8_sse") / F.sum("energy"))).alias("fp8_nrmse"))
 
 
-@query(
-    "qk_error",
-    f"""WITH {FP4}, m AS (SELECT layer, head, block, channel AS d, count(*) AS n, avg(v * v) AS var FROM coded GROUP BY 1, 2, 3, 4)
-SELECT c.layer, c.head, round(sum((restored - v) * (restored - v) * var * n), 9) AS qk_error, round(sum(v * v * var * n), 6) AS qk_reference
-FROM coded c JOIN m ON m.layer = c.layer AND m.head = c.head AND m.block = c.block AND m.d = c.channel GROUP BY 1, 2""",
-)
-def qk_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors weighted by the query moments of their block, here the diagonal ones; both sides are summed to (block, channel) before they meet."""
-    cells = coded_cells(spark, sf_dir, "fp4")
-    e = F.col("restored") - F.col("v")
-    sums = cells.groupBy("layer", "head", "block", "channel").agg(F.sum(e * e).alias("se"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.count(F.lit(1)).alias("n"), F.avg(F.col("v") * F.col("v")).alias("var"))
-    return sums.groupBy("layer", "head").agg(F.round(F.sum(F.col("se") * F.col("var") * F.col("n")), 9).alias("qk_error"), r6(F.sum(F.col("ss") * F.col("var") * F.col("n"))).alias("qk_reference"))
-
-
 @query("code_histogram", f"WITH {FP4}, c AS (SELECT code, count(*) AS n FROM coded GROUP BY 1) SELECT k::INTEGER AS code, coalesce(n, 0) AS n FROM range(16) g(k) LEFT JOIN c ON c.code = k")
 def code_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(coded_cells(spark, sf_dir, "fp4"), [], 16)
