@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+import subprocess
 import zlib
 
 import pyarrow as pa
@@ -94,6 +95,30 @@ def video_codec_available() -> bool:
     return shutil.which("ffmpeg") is not None
 
 
+def video_sizes(frames: DataFrame, keys: list[str], params: str, ffmpeg: str = "ffmpeg") -> DataFrame:
+    """(keys, raw_bytes, stream_bytes, exact) of groups of gray frames (frame, height, width, pixels binary), each encoded losslessly by one external process and decoded again.
+
+    A group is one closed group of pictures, so that groups need nothing of each other and a task holds one of them. Fails where the encoder does.
+    """
+    schema = ", ".join(f"{k} {t}" for k, t in frames.select(*keys).dtypes) + ", raw_bytes long, stream_bytes long, exact boolean"
+
+    def call(arguments: list[str], data: bytes) -> bytes:
+        done = subprocess.run([ffmpeg, "-hide_banner", "-loglevel", "error", "-threads", "1", *arguments], input=data, capture_output=True, timeout=600)
+        if done.returncode:
+            raise RuntimeError(done.stderr.decode(errors="replace")[-2000:])
+        return done.stdout
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        height, width = (table.column(n)[0].as_py() for n in ("height", "width"))
+        raw = b"".join(table.column("pixels").to_pylist())
+        stream = call(["-f", "rawvideo", "-pix_fmt", "gray", "-s", f"{width}x{height}", "-r", "1", "-i", "pipe:0", "-an", "-c:v", "libx265", "-x265-params", params, "-f", "hevc", "pipe:1"], raw)
+        back = call(["-f", "hevc", "-i", "pipe:0", "-pix_fmt", "gray", "-f", "rawvideo", "pipe:1"], stream)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "raw_bytes": pa.array([len(raw)], pa.int64()), "stream_bytes": pa.array([len(stream)], pa.int64()), "exact": [back == raw]})
+
+    return frames.groupBy(*keys).applyInArrow(run, schema)
+
+
 X265_DEFAULTS = {"lossless": "1", "keyint": "32", "min-keyint": "32", "scenecut": "0", "bframes": "3", "b-adapt": "2", "rc-lookahead": "4", "log-level": "error"}
 
 

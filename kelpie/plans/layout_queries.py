@@ -75,17 +75,14 @@ def nibble_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("joined", C.nibbles_join(F.col("high"), F.col("low")))
 
 
-_ODD = "WHERE channel < 15"
-
-
-@query("pack_nibbles", f"WITH {INT8}, s AS (SELECT view, token, channel, code & 15 AS low FROM coded {_ODD}) SELECT view, token, channel // 2 AS byte, sum(low << (4 * (channel % 2))::INTEGER)::BIGINT AS packed FROM s GROUP BY 1, 2, 3")
+@query("pack_nibbles", f"WITH {INT8}, s AS (SELECT view, token, channel, code & 15 AS low FROM coded) SELECT view, token, channel // 2 AS byte, sum(low << (4 * (channel % 2))::INTEGER)::BIGINT AS packed FROM s GROUP BY 1, 2, 3")
 def pack_nibbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An odd number of low nibbles for each row: the last byte is half empty."""
-    cells = coded_cells(spark, sf_dir, "int8").filter("channel < 15").select("view", "token", "channel", C.low(F.col("code")).alias("code"))
+    """Low nibbles of each row, the even one in the low half of its byte."""
+    cells = coded_cells(spark, sf_dir, "int8").select("view", "token", "channel", C.low(F.col("code")).alias("code"))
     return packing.packed_bytes(cells, ["view", "token"], "channel", 4)
 
 
-@query("unpack_nibbles", f"WITH {INT8} SELECT view, token, channel AS place, code & 15 AS code FROM coded {_ODD} UNION ALL SELECT DISTINCT view, token, 15::BIGINT, 0 FROM coded")
+@query("unpack_nibbles", f"WITH {INT8} SELECT view, token, channel AS place, code & 15 AS code FROM coded")
 def unpack_nibbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unpacked_codes(pack_nibbles(spark, sf_dir), ["view", "token"], 4)
 
@@ -192,15 +189,15 @@ def _unit_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centered.withColumn("vec", unit(F.col("vec")))
 
 
-@query("cross_cov", f'WITH {UNIT_CELLS} SELECT a.view AS "left", b.view AS "right", a.channel::INTEGER AS d, b.channel::INTEGER AS e, round(sum(a.u * b.u), 6) AS c FROM un a JOIN un b ON a.token = b.token AND a.layer // 2 = b.layer // 2 AND a.layer // 2 = 0 GROUP BY 1, 2, 3, 4')
-def cross_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matrices.cross_covariance(_unit_centered(spark, sf_dir).filter("grp = 0"), ["token"], "view", "vec", vectors.DIM)
-    return found.withColumn("c", F.round("c", 6) + 0.0)
+def _covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(left, right, d, e, c, grp): views are paired within their group of layers only."""
+    found = matrices.cross_covariance(_unit_centered(spark, sf_dir), ["grp", "token"], "view", "vec", vectors.DIM)
+    return found.withColumn("grp", F.floor(F.col("left") / (2 * vectors.HEADS)).cast("long"))
 
 
-def _covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [matrices.cross_covariance(_unit_centered(spark, sf_dir).filter(F.col("grp") == g), ["token"], "view", "vec", vectors.DIM).withColumn("grp", F.lit(g).cast("long")) for g in (0, 1)]
-    return both[0].unionByName(both[1])
+@query("cross_cov", f'WITH {UNIT_CELLS} SELECT a.layer // 2 AS grp, a.view AS "left", b.view AS "right", a.channel::INTEGER AS d, b.channel::INTEGER AS e, round(sum(a.u * b.u), 6) + 0.0 AS c FROM un a JOIN un b ON a.token = b.token AND a.layer // 2 = b.layer // 2 GROUP BY 1, 2, 3, 4, 5')
+def cross_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covariances(spark, sf_dir).withColumn("c", F.round("c", 6) + 0.0)
 
 
 @query("gpa_fit")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The format tags and fields of the files that are read.
 SHARD_FORMAT = "qwen35-qk-sequence-shards-v1"
 SHARDS = "format string, shards array<struct<sequence_index: int, worker_files: array<string>, key_token_sha256: string, prompt_token_sha256: string>>"
 RECORDS = "status string, groups array<struct<kind: string, layers: array<int>, views: int, dim: int>>, records array<struct<split: string, domain: string, task: string, tokens: long, slots: long, groups: array<struct<path: string, sha256: string, kind: string>>>>"

@@ -1,6 +1,7 @@
 """Operators on small fixtures: alignment failures, tails, odd counts, fits, streams."""
 
 import json
+import sys
 import zlib
 
 import numpy as np
@@ -135,3 +136,16 @@ def test_codec_settings():
     assert "bframes=0" in packing.x265_params(bframes=0) and "b-adapt=0" in packing.x265_params(bframes=0)
     assert "rc-lookahead=9" in packing.x265_params(bframes=8)
     assert packing.video_codec_available() in (True, False)
+
+
+def test_video_process(spark, tmp_path):
+    """The process and its checks, with a stand-in that deflates, as the encoder is not installed everywhere."""
+    stand_in = tmp_path / "ffmpeg"
+    stand_in.write_text(f"#!{sys.executable}\nimport sys, zlib\ndata = sys.stdin.buffer.read()\nsys.stdout.buffer.write(zlib.compress(data) if 'libx265' in sys.argv else zlib.decompress(data))\n")
+    stand_in.chmod(0o755)
+    frames = spark.createDataFrame([(g, f, 2, 4, bytes([g + f] * 8)) for g in range(2) for f in range(3)], "gop int, frame int, height int, width int, pixels binary")
+    got = sorted(packing.video_sizes(frames, ["gop"], packing.x265_params(), str(stand_in)).collect())
+    assert [(r.gop, r.raw_bytes, r.exact) for r in got] == [(0, 24, True), (1, 24, True)]
+    stand_in.write_text(f"#!{sys.executable}\nimport sys\nsys.exit('no encoder')\n")
+    with pytest.raises(Exception, match="no encoder"):
+        packing.video_sizes(frames, ["gop"], "", str(stand_in)).collect()
