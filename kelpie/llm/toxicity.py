@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm.bpe import slices
-from kelpie.llm.common import fold_of, materialize
+from kelpie.llm.common import discard, fold_of, materialize
 
 #: Bound of the labelled sample; folds, and the one whose labels are never seen; decision threshold.
 TRAIN_ROWS, FOLDS, UNSEEN, THRESHOLD = 20_000, 4, 2, 0.3
@@ -257,6 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = materialize(sample.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("toxic").alias("toxic")).select("h", "text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
+        discard(sample)
         return Model({}, PRIOR)
 
     def count(batches):
@@ -290,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(4)), batch.column(1)], ["a", "b", "c", "d", "toxic"])
 
     seen = np.array(sample.select("text", "toxic").mapInArrow(look, "a double, b double, c double, d double, toxic int").collect(), dtype=float)  # bounded by the sample
+    discard(sample)
     return Model(learned, fit_logistic(seen[:, :4], seen[:, 4]))
 
 
