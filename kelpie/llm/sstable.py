@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -50,7 +51,9 @@ from kelpie.llm.ranges import range_bounds
 MAGIC = b"KELPSST1"
 FOOTER = struct.Struct("<6Q8s")
 BLOCK_BYTES, RESTART_EVERY, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
-CACHE_CHUNKS = 250_000
+#: Bound of a worker's cache of encoded parts; ASCII punctuation.
+CACHE_CHUNKS = 600_000
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -241,11 +244,14 @@ class Reader:
 
 
 class ChunkEncoder:
-    """The ids of the tokenizers library for vocabularies whose pre-tokenizer drops white space.
-
-    No piece of such a text spans white space, so the library encodes every
-    distinct run between white space once. Runs go to it many at a time,
-    divided by a special token, which it splits off before all else.
+    """The ids of the tokenizers library for vocabularies that drop white space and lower the case.
+
+    No piece of such a text spans white space, nor the place between a letter
+    and the punctuation that ends a run, so the library encodes every distinct
+    run (lower-cased in A-Z) without its last punctuation, and every distinct
+    last punctuation, once. They go to it many at a time, divided by a special
+    token, which it splits off before all else. Runs with a special token in
+    them go to it alone and unchanged.
     """
 
     def __init__(self, vocabulary: str, divider: str, width: int):
@@ -256,37 +262,62 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.divider, self.divider_id = divider, self.tokenizer.token_to_id(divider)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.any_special = re.compile(b"|".join(map(re.escape, tokens)), re.I)
+        self.lead = re.match(b"[^A-Za-z]*", os.path.commonprefix(tokens))[0]  # a quick look at what has no case
         self.dtype = np.dtype(f"<u{width}")
         self.cache: dict[bytes, bytes] = {}
 
-    def _encode(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        plain = [c for c in chunks if not any(s in c for s in self.special)]
-        for c in chunks if len(plain) < len(chunks) else []:
-            if any(s in c for s in self.special):
-                yield c, np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            text = self.divider.join(c.decode() for c in some)
+    def _encode(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        size = self.dtype.itemsize
+        for i in range(0, len(parts), 1024):
+            some = parts[i : i + 1024]
+            text = self.divider.join([c.decode() for c in some])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            at = np.flatnonzero(ids == self.divider_id).tolist()
+            at = (np.flatnonzero(ids == self.divider_id) * size).tolist()
             if len(at) != len(some) - 1:
                 raise RuntimeError("the divider was not split off")
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            for c, a, b in zip(some, [0, *(x + 1 for x in at)], [*at, len(ids)], strict=True):
-                yield c, raw[a * size : b * size]
+            raw = ids.tobytes()
+            for c, a, b in zip(some, [0, *(x + size for x in at)], [*at, len(raw)], strict=True):
+                yield c, raw[a:b]
+
+    def special(self, text: bytes) -> bool:
+        return self.lead in text and self.any_special.search(text) is not None
 
     def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
+        special = self.special
+        split = [t.lower().split() if t and not special(t) else (t or b"").split() for t in texts]
         seen: set[bytes] = set()
         for words in split:
             seen.update(words)
-        new = [w for w in seen if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_CHUNKS and self.cache:
-            self.cache.clear()
-            new = list(seen)
-        self.cache.update(self._encode(new))
-        get = self.cache.__getitem__
+        ids: dict[bytes, bytes] = {}
+        if any(special(t) for t in texts if t):
+            for c in [c for c in seen if special(c)]:
+                seen.discard(c)
+                ids[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        ends: list[tuple[bytes, bytes, bytes]] = []
+        whole: list[bytes] = []
+        for c in seen:
+            core = c.rstrip(PUNCTUATION)
+            if len(core) == len(c) or not core or not (97 <= core[-1] <= 122 or core.decode()[-1].lower()[-1].isalpha()):
+                whole.append(c)
+            else:
+                ends.append((c, core, c[len(core) :]))
+        parts = set(whole)
+        for _, core, tail in ends:
+            parts.add(core)
+            parts.add(tail)
+        cache = self.cache
+        new = [p for p in parts if p not in cache]
+        if len(cache) + len(new) > CACHE_CHUNKS and cache:
+            cache.clear()
+            new = list(parts)
+        cache.update(self._encode(new))
+        for c in whole:
+            ids[c] = cache[c]
+        for c, core, tail in ends:
+            ids[c] = cache[core] + cache[tail]
+        get = ids.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
