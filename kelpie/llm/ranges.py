@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Relative rank error of the bounds; ranges are even to about this share of all rows.
-RANK_ERROR = 0.001
+#: The most ranges, whatever the number of partitions: their bounds go through the driver. A range is streamed, so it may be large.
+MOST_RANGES = 16_384
 
 
 def range_bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
-    """At most ranges - 1 ascending bounds; a value belongs to the range of the number of bounds at or below it, null to the first."""
+    """At most min(ranges, MOST_RANGES) - 1 ascending bounds, even to a quarter of a range; a value belongs to the range of the number of bounds at or below it, null to the first."""
+    ranges = min(ranges, MOST_RANGES)
     if ranges < 2:
         return []
     shares = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", shares, min(RANK_ERROR, 1 / (4 * ranges)))
+    found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", shares, min(0.001, 1 / (4 * ranges)))
     return sorted({int(x) for x in found})

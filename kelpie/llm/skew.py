@@ -12,12 +12,12 @@ HEAVY = 1000
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows, each with the columns of its key in table; inner. table has one row for each key and in `count` the number of rows with it.
 
-    The heavy keys, at most HEAVY by their definition, are broadcast, and their rows never shuffled; all others are joined by shuffle.
+    The heavy keys, at most HEAVY by their definition, are broadcast, and their rows never shuffled; all others are joined by shuffle, sorted and so able to spill.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     bound = max(total // HEAVY, 1)
     light = table.filter(F.col(count) <= bound).drop(count)
     heavy = table.filter(F.col(count) > bound).drop(count)
     some = rows.join(F.broadcast(heavy), keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("shuffle_hash"), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return rest.unionByName(some)
