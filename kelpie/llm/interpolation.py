@@ -233,7 +233,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         logs = [np.log(np.where(p > 0, p, 1)) for p in (p2, p1)]
         q2, q1 = (np.where(p > 0, np.minimum(np.floor(-x / CELL), CELLS).astype(np.int64), CELLS + 1) for p, x in ((p2, logs[0]), (p1, logs[1])))
         cell, at, count = np.unique((bucket(context) * (CELLS + 2) + q2) * (CELLS + 2) + q1, return_inverse=True, return_counts=True)
-        sums = [np.bincount(at, weights=x, minlength=len(cell)) for x in logs]
+        sums = [np.bincount(at, weights=x, minlength=len(cell)).astype(np.float64) for x in logs]  # of nothing bincount makes integers
         return pa.table({"cell": cell, "n": count.astype(np.int64), "log2gram": sums[0], "log1gram": sums[1]})
 
     found = packed.groupBy("chunk").cogroup(returned.groupBy("chunk")).applyInArrow(cells, "cell long, n long, log2gram double, log1gram double")

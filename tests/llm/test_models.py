@@ -222,7 +222,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows, labels = toxic_rows()
-    item = sentence(500, 40)
+    item = " ".join(f"term{chr(97 + i % 26)}{i}" for i in range(40))  # words that no other text has
     rows += [row(1000, rows[1][1]), row(1001, rows[2][1]), row(1002, sentence(600, 30) + " " + item), row(1003, ""), row(1004, None)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([r[:5] for r in rows], columns)
