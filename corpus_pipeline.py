@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import bpe, decontamination, simhash, toxicity
+from kelpie.llm import bpe, decontamination, near_copies, toxicity
 from kelpie.llm.common import materialize, table
 
 ORACLE_SQL = None
@@ -25,8 +25,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document of the smallest doc_id."""
-    return simhash.one_each(docs)
+    """Of each group of near copies (5-word shingles, 0.8 alike) and SimHash near-duplicates the document of the smallest doc_id."""
+    return near_copies.one_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

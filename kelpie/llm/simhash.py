@@ -118,9 +118,16 @@ def links(nodes: DataFrame, distance: int = 2, segments: int = 5) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hexadecimal digits, and the smallest doc_id reachable over links."""
     fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
+    return grouped(fps, distance, segments)
+
+
+def grouped(fps: DataFrame, distance: int = 2, segments: int = 5, further: DataFrame | None = None) -> DataFrame:
+    """near_duplicates() of the fingerprints (doc_id, fp), read again and again; `further` are edges (src, dst) between fingerprints beside those of links()."""
     nodes = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "simhash-nodes")
     edges = links(nodes.select("fp"), distance, segments)
+    if further is not None:
+        edges = edges.unionByName(further)
     roots = connected_components(edges)  # only of fingerprints that have a link
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = rooted.filter(F.col("root") != F.col("fp")).select("root").distinct()
@@ -132,7 +139,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
 
 def one_each(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 5) -> DataFrame:
     """Of every group of near-duplicates the row of the smallest doc_id, with all columns of docs; rows without a doc_id cannot be told apart and all stay."""
-    kept = near_duplicates(docs, words, distance, segments).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    return least_of_each(docs, near_duplicates(docs, words, distance, segments))
+
+
+def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """one_each() of docs whose groups (doc_id, component_id) are known."""
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = materialize(kept.withColumnRenamed("doc_id", "_kept"), "simhash-kept")
     named = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
     if kept.filter("_rows > 1").limit(1).count():  # repeated rows of a kept document
