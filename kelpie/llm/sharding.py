@@ -5,10 +5,12 @@ partition with its size in one of `shards` sets. Again and again the two partial
 partitions of largest spread are combined, the largest sets of one with the
 smallest of the other, until one is left.
 
-The differencing runs in two levels, so that no task and no driver holds all
-groups: each part of the groups, dealt by hash, is differenced to one partial
-partition; then these, one for each part, are differenced on the driver. The
-number of parts follows the number of groups.
+Beyond GROUPS_EACH groups the differencing runs in two levels, so that no task
+and no driver holds all groups: the groups are dealt by hash to parts and, in
+these, to cells; each cell is differenced to `shards` bundles. Groups of more
+than 1 / SINGLE of a shard's share are bundles of their own. Then all bundles are
+differenced on the driver one by one, so that small ones make up for large ones.
+The number of parts follows the number of groups; there are CELLS cells at least.
 
 Edge cases: a null text counts as no bytes and shares the group of empty texts;
 repeated rows are kept in their group; an empty table gives no rows; a null
@@ -34,6 +36,8 @@ from kelpie.llm.skew import lookup_join
 
 #: Groups in a part and rows in a cell of slots, roughly; bytes of overhead of a row.
 GROUPS_EACH, ROWS_EACH, ROW_BYTES = 50_000, 20_000, 16
+#: Cells of two levels at least; groups above 1 / SINGLE of a shard's share, at most SINGLE for each shard, stand alone.
+CELLS, SINGLE = 1000, 25
 
 
 def difference(partials: list[list[tuple[int, int]]], ways: int) -> list[list[int]]:
@@ -84,23 +88,29 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     spark = groups.sparkSession
     number = groups.count()
     parts = max(1, math.ceil(number / GROUPS_EACH))
+    cells = math.ceil(CELLS / parts) if parts > 1 else 1
+    bound = (groups.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0) / shards / SINGLE if parts > 1 else math.inf
     dealt = groups.withColumn("part", F.pmod(F.xxhash64("h", "crc", "size"), F.lit(parts)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("crc", "ascending"), ("size", "ascending")])
-        weights = (table.column("n").to_numpy() * table.column("size").to_numpy()).tolist()
+        weights = table.column("n").to_numpy() * table.column("size").to_numpy()
         local = np.empty(len(weights), dtype=np.int32)
-        for i, members in enumerate(difference([[(w, j)] for j, w in enumerate(weights)], shards)):
-            local[members] = i
+        single = np.flatnonzero(weights > bound)
+        local[single] = cells * shards + np.arange(len(single))
+        cell = table.column("h").to_numpy().view(np.uint64) % np.uint64(cells)
+        cell[single] = cells
+        order = np.argsort(cell, kind="stable")
+        for c, some in enumerate(np.split(order, np.searchsorted(cell[order], np.arange(1, cells + 1, dtype=np.uint64)))[:cells]):
+            for i, members in enumerate(difference([[(w, j)] for w, j in zip(weights[some].tolist(), some.tolist(), strict=True)], shards)):
+                local[members] = c * shards + i
         return table.append_column("local", pa.array(local))
 
     schema = T.StructType([*dealt.schema.fields, T.StructField("local", T.IntegerType())])
     placed = materialize(dealt.repartition(max(partitions(spark), parts), "part").groupBy("part").applyInArrow(run, schema), "shards-local")
-    sums = placed.groupBy("part", "local").agg(F.sum(F.col("n") * F.col("size")).alias("bytes")).orderBy("part", "local").collect()  # `shards` lines for each part
-    by_part: dict[int, list[tuple[int, int]]] = {}
-    for i, r in enumerate(sums):
-        by_part.setdefault(r["part"], []).append((r["bytes"], i))
-    rows = [(sums[i]["part"], sums[i]["local"], shard) for shard, members in enumerate(difference(list(by_part.values()), shards)) for i in members]
+    sums = placed.groupBy("part", "local").agg(F.sum(F.col("n") * F.col("size")).alias("bytes")).orderBy("part", "local").collect()  # `shards` lines for each cell, and the single groups
+    bundles = [[(r["bytes"], i)] for i, r in enumerate(sums)] if parts > 1 else [[(r["bytes"], i) for i, r in enumerate(sums)]]
+    rows = [(sums[i]["part"], sums[i]["local"], shard) for shard, members in enumerate(difference(bundles, shards)) for i in members]
     final = spark.createDataFrame(rows, "part int, local int, shard int")
     return placed.join(final, ["part", "local"]).drop("part", "local")
 

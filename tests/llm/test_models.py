@@ -60,6 +60,15 @@ def test_shards_are_near_equal(spark):
     assert len(sums) == 4 and max(sums) - min(sums) <= 0.01 * max(sums)
 
 
+def test_heavy_groups_are_balanced_in_two_levels(spark, monkeypatch):
+    """A group of a fifth of all bytes, among 4 shards and several parts."""
+    monkeypatch.setattr(sharding, "GROUPS_EACH", 500)
+    rows = [row(i, f"text {i} " * (5 + i % 7)) for i in range(4000)] + [row(10_000 + i, "copy " * 40) for i in range(440)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 4).groupBy("shard").sum("size").collect()
+    sums = [r[1] for r in got]
+    assert len(sums) == 4 and max(sums) - min(sums) <= 0.002 * max(sums)
+
+
 def brute_model(rows):
     tokens = [(r[0], [w for w in (r[1] or "").encode().lower().split()] + [b""]) for r in rows]
     fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5
