@@ -12,7 +12,8 @@ have, the estimate of the Jaccard index of the anchor sets (exact for texts with
 no more anchors than SKETCH).
 
 Edge cases: a null text is the empty one, whose fingerprint is the empty string
-(likeness 1 to itself, 0 to all others); a text shorter than k is one anchor;
+(likeness 1 to itself, 0 to all others); any other text without a
+closed syncmer (shorter than k, or not much longer) is one anchor as a whole;
 repeated rows are kept, and ties of doc_id are ordered by a hash of the text; a
 null doc_id comes first; the only row is its own next; other columns are not read.
 """
@@ -82,8 +83,11 @@ def sketches(texts: list[str], k: int = K, s: int = S, size: int = SKETCH) -> li
     at, hashes = anchors(code, k, s)
     doc = np.searchsorted(ends, at, side="right")
     inside = at + k <= ends[doc] if len(at) else np.empty(0, dtype=bool)
-    doc, low = doc[inside].astype(np.uint64), hashes[inside] >> np.uint64(32)
-    short = np.flatnonzero((lengths > 0) & (lengths < k))
+    doc, low = doc[inside], hashes[inside] >> np.uint64(32)
+    bare = lengths > 0
+    bare[doc] = False
+    doc = doc.astype(np.uint64)
+    short = np.flatnonzero(bare)
     if len(short):
         doc = np.concatenate((doc, short.astype(np.uint64)))
         low = np.concatenate((low, np.array([xxhash.xxh32_intdigest(raw[i]) for i in short], dtype=np.uint64)))

@@ -40,6 +40,16 @@ def test_likeness():
     assert syncmers.likeness(a, b, 4) == 0.0  # the four smallest of the union are all a's own
 
 
+def test_short_texts_have_anchors():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in range(1, 40) for _ in range(20)]
+    found = syncmers.sketches(["", *texts])
+    assert not len(found[0]) and all(map(len, found[1:]))
+    for n in range(16, 27):
+        same = [s for t, s in zip(texts, found[1:], strict=True) if len(t) == n]
+        assert all(syncmers.likeness(a, b) < 1 for a, b in itertools.combinations(same, 2))
+
+
 def test_edited_fingerprints(docs, empty, spark):
     rows = sorted(((r[0], r[1] or "") for r in edge_rows()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = syncmers.edited_fingerprints(docs).collect()
