@@ -10,8 +10,10 @@ the page's share of link characters LCb/Cb (zero denominators count as one; on a
 page without links the density is C/T). The density sum of a block is the sum
 over its child blocks. The block of the largest sum is the seed; the threshold
 is the smallest density on the path from it to the body. Subtrees at or above
-the threshold belong to the text: from the seed the selection goes up while the
-other children with text reach it, or to the article or main element around it.
+the threshold belong to the text: the selection is the article or main element
+around the seed or, without one, the body less the blocks beside the path that
+fall short of the threshold and hold more link characters than others. Headings,
+paragraphs and short sections without many links are thin, but are text.
 
 Before that, what is never article text is taken out: scripts, styles, forms,
 menus, page headers and footers, sidebars, hidden parts, and elements whose
@@ -76,6 +78,9 @@ NAMED_OUT = frozenset(
 NAMED_DOUBTFUL = frozenset("banner notice notices alert footer header masthead toolbar related recommended recommendations share sharing social widget widgets pagination pager login signup search skip overlay aside topbar".split())
 NAMED_CONTENT = frozenset("article content entry main post story text body page".split())
 
+#: Never taken for a list of links.
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
 
 class Block:
     __slots__ = ("name", "parent", "out", "hint", "chars", "tags", "link_chars", "link_tags", "children", "density", "total")
@@ -250,21 +255,20 @@ def main_text(page: str | None) -> str:
     bodies = [i for i, b in enumerate(path) if b.name == "body"]
     path = path[: bodies[-1] + 1] if bodies else path
     threshold = min(b.density for b in path)
+    dropped: set[Block] = set()
     semantic = [b for b in path if b.name in ("article", "main")]
     if semantic:
         best = semantic[0]
     else:
-        for b in path[1:]:
-            if any(c.density < threshold for c in b.children if not c.out and c.chars):
-                break
-            best = b
+        best = path[-1]
+        dropped = {c for b in path[1:] for c in b.children if c not in path and c.density < threshold and 2 * c.link_chars > c.chars and c.name not in KEPT}
         within = [b for b in kept if (b.name in ("article", "main") or b.hint) and 2 * b.chars > best.chars and _under(b, best)]
         if within and best.name in ("html", "body"):
             best = within[0]
     lines = []
     for block, run in runs:
         if line := " ".join("".join(run).split()):
-            if _under(block, best):
+            if _under(block, best) and not any(_under(block, b) for b in dropped):
                 lines.append(line)
     return "\n".join(lines)
 

@@ -201,6 +201,16 @@ def test_main_text(body, want):
     assert html_density.main_text(PAGE.format(body)) == want
 
 
+def test_unequal_sections_without_article():
+    """All sections stay, whatever their density; a block of links beside them does not."""
+    first = "".join(f"<p>{f'word{i} ' * 60}</p>" for i in range(20))
+    second = "<section><h2>A short heading</h2><p>A short paragraph of the second section, kept.</p></section>"
+    links = "<div>" + "".join(f"<a href=x{i}>other page {i}</a> " for i in range(9)) + "</div>"
+    for block in ("", links):
+        text = html_density.main_text(f"<html><body><div class=content><section>{first}</section>{second}{block}</div></body></html>")
+        assert "A short heading\nA short paragraph of the second section, kept." in text and "other page" not in text and "word19" in text
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<div>", "<p", "<a href='x", "</p></b></div>", "<table><tr><td>", "<!-- never closed", "<script>x", "&", "<p><p><p>"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_density.main_text(page), str)
