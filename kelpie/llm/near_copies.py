@@ -1,22 +1,25 @@
-"""Near copies by shingle sets, beside the near-duplicates of SimHash.
+"""Near copies by shingle sets: the setting of SimHash near-duplicates for looser copies.
 
 Two texts are near copies if their sets of SHINGLE-word shingles have a Jaccard
-index of ALIKE at least. At that likeness SimHash fingerprints lie a sixth of
-their bits apart, where the exact keys of pigeonring are a few bits long and
-choose nothing. So candidates are found by the least hashes of the sets (BANDS
-keys of ROWS least hashes each; a pair at ALIKE shares a key with probability
-1 - (1 - ALIKE**ROWS)**BANDS, 0.9996, a closer one more surely), and every
-candidate is decided by the sets themselves.
+index of ALIKE at least. The SimHash fingerprints of such sets lie about a sixth
+of their bits apart, where the segments of pigeonring that must agree are too
+short to be join keys. So candidates share a key of ROWS least hashes, one of
+BANDS (a pair at ALIKE does with probability 1 - (1 - ALIKE**ROWS)**BANDS, 0.9996,
+a closer one more surely); the pigeonring filter and the full Hamming check on
+fingerprints of the same shingles (DISTANCE of 64 bits, five deviations above the
+mean of a pair at ALIKE) prune them, and the sets themselves decide.
 
 Texts with the same set are one node. All pairs of a bin of up to BIN nodes are
-decided. In a larger one all nodes are first held against a few pivots; the
-nodes that are then outside the bin's largest component are held against all of
-the bin. Pairs within a component change nothing, so the components are those of
-all pairs, without pairing a group of near copies with itself.
-
-Edge cases: a null, empty or blank text has the empty set and is linked to its
-like only; fewer words than a shingle has are one shingle; a null doc_id is
-linked like any other; other columns are not read.
+candidates. In a larger one all nodes are first held against a few pivots; the
+nodes that are then outside the bin's largest component are held against those
+of its other components. Pairs within a component change nothing, so the
+components are those of all pairs, without pairing a group of near copies with
+itself.
+
+Edge cases: a null, empty or blank text has the empty set and is a copy of its
+like only; fewer words than a shingle has are one shingle; rows are known by
+doc_id and text, so other texts under one doc_id, or without one, are judged
+each; of rows that repeat both, one stays; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +28,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm.bpe import slices
-from kelpie.llm.common import materialize
+from kelpie.llm.common import broadcast_small, discard, matching, materialize, text_hash, without
 from kelpie.llm.components import connected_components
-from kelpie.llm.simhash import fingerprint_of, grouped, least_of_each
+from kelpie.llm.simhash import majority, named_by_root, pigeonring
 from kelpie.llm.skew import lookup_join
 from kelpie.llm.syncmers import _mix
 
 SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 5
+DISTANCE, SEGMENTS = 24, 6
 BIN, PIVOTS = 32, 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,99 +70,112 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return _mix(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-SIGNATURES = "row long, doc_id long, fp long, key long, n int, shingles binary, bands array<long>"
+SIGNATURES = "row long, doc_id long, copy long, fp long, key long, n int, shingles array<int>, bands array<long>"
 
 
-def signatures(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every whole text a row number, its SimHash of `words` words, the hash, size and (as 32-bit hashes) members of its set, and the set's bands, in one pass."""
+def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), kind))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every whole text a row number, the hash of the text, of its shingles the SimHash, the hash of the set, its size, its members (as 32-bit hashes) and its bands, in one pass."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
-                texts = part.column(1).to_pylist()
-                sets = [shingles_of(t) for t in texts]
-                fps = np.array([fingerprint_of(t, words) for t in texts], dtype=np.uint64).view(np.int64)
-                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                some = [s for s in sets if len(s)]
-                bands = bands_of(some).ravel() if some else np.empty(0, dtype=np.int64)
-                offsets = np.cumsum([0] + [BANDS * (len(s) > 0) for s in sets]).astype(np.int32)
+            for part in slices(batch, column=2, most=1 << 20):
+                sets = [shingles_of(t) for t in part.column(2).to_pylist()]
+                bands = np.zeros((len(sets), BANDS), dtype=np.int64)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                if full:
+                    bands[full] = bands_of([sets[k] for k in full])
+                none = np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + len(texts))),
+                        pa.array(np.arange(row, row + len(sets))),
                         part.column(0),
-                        pa.array(fps),
-                        pa.array(keys),
+                        part.column(1),
+                        pa.array(np.array([majority(s.astype(">u8")) for s in sets], dtype=np.uint64).view(np.int64)),
+                        pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands)),
+                        _lists([np.unique((s >> np.uint64(32)).astype("<u4")).view(np.int32) for s in sets], pa.int32()),
+                        _lists([b if len(s) else none for b, s in zip(bands, sets, strict=True)], pa.int64()),
                     ],
-                    ["row", "doc_id", "fp", "key", "n", "shingles", "bands"],
+                    ["row", "doc_id", "copy", "fp", "key", "n", "shingles", "bands"],
                 )
-                row += len(texts)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SIGNATURES)
+                row += len(sets)
 
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("copy"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SIGNATURES)
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose sets (row, fp, shingles) are ALIKE, with their fingerprints fa and fb. Rows that stand in very many pairs are looked up by broadcast."""
 
-    def looked_up(found: DataFrame, side: str) -> DataFrame:
-        times = found.groupBy(side).agg(F.count(F.lit(1)).alias("times"))
-        named = materialize(sets.join(times.withColumnRenamed(side, "row"), "row").select(F.col("row").alias(side), F.col("fp").alias(f"f{side}"), F.col("shingles").alias(f"s{side}"), "times"), "near-sets")
-        return lookup_join(found, named, [side], "times")
+def _candidates(found: DataFrame) -> DataFrame:
+    """Of pairs (a, na, fa, b, nb, fb) of nodes the distinct ones, a < b, whose sizes allow ALIKE and whose fingerprints pass the pigeonring filter."""
+    sized = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= ALIKE * F.greatest("na", "nb") - 1e-9)
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE
+    return found.filter(sized & pigeonring(F.col("fa"), F.col("fb"), DISTANCE, SEGMENTS) & near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
-    def run(batches):
-        for batch in batches:
-            kept = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<u4"), np.frombuffer(y.as_buffer(), dtype="<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept[i] = both >= ALIKE * (len(x) + len(y) - both) - 1e-9
-            yield batch.select(["a", "b", "fa", "fb"]).filter(pa.array(kept))
 
-    return looked_up(looked_up(pairs, "a"), "b").select("a", "b", "fa", "fb", "sa", "sb").mapInArrow(run, "a long, b long, fa long, fb long")
+def alike(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= ALIKE * (F.size(a) + F.size(b) - both) - F.lit(1e-9)
 
 
-def _ordered(a: str, b: str, na: str, nb: str, found: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of rows whose set sizes allow ALIKE."""
-    sized = (F.col(a) != F.col(b)) & (F.least(na, nb) >= ALIKE * F.greatest(na, nb) - 1e-9)
-    return found.filter(sized).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of rows whose sets are ALIKE; only the sets of rows that stand in a pair are moved."""
+    rows = materialize(pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct(), "near-paired")
+    sets = materialize(signed.select("row", "shingles").join(broadcast_small(rows, 32), "row"), "near-sets")
+    left, right = (sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s_{x}")) for x in ("src", "dst"))
+    found = materialize(pairs.join(left, "src").join(right, "dst").filter(alike(F.col("s_src"), F.col("s_dst"))).select("src", "dst"), "near-found")
+    discard(rows, sets)
+    return found
 
 
-def links(signed: DataFrame) -> DataFrame:
-    """Edges (src, dst) between fingerprints of signatures() that give the same components as all near copies."""
-    nodes = materialize(signed.groupBy("key").agg(F.min("row").alias("row")).join(signed.select("row", "fp", "n", "bands"), "row"), "near-nodes")  # one row of each set
-    same = signed.select("key", "fp").distinct().join(nodes.select("key", F.col("fp").alias("src")), "key").filter("fp != src").select("src", F.col("fp").alias("dst"))
-
-    keyed = nodes.select("row", "n", F.explode("bands").alias("band"))
-    picks = [F.min_by("row", F.xxhash64("row", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)] + [F.min_by("n", F.xxhash64("row", F.lit(j))).alias(f"n{j}") for j in range(PIVOTS)]
+def links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) between nodes, known by their row, that give the same components as all near copies."""
+    shaped = signed.select("row", "fp", "n", "bands").join(nodes.select("row"), "row")
+    keyed = materialize(shaped.select("row", "n", "fp", F.explode("bands").alias("band")), "near-bands")
+    own = F.struct("row", "n", "fp")
+    picks = [F.min_by(own, F.xxhash64("row", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
     bins = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *picks).filter("members > 1")
-    bins = materialize(bins.select("band", "members", F.array(*[F.struct(F.col(f"p{j}").alias("row"), F.col(f"n{j}").alias("n")) for j in range(PIVOTS)]).alias("pivots"), F.col("members").alias("size")), "near-bins")
-    keyed = materialize(lookup_join(keyed, bins, ["band"], "members"), "near-keyed")
+    bins = materialize(bins.select("band", "members", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"), F.col("members").alias("size")), "near-bins")
+    binned = materialize(lookup_join(keyed, bins, ["band"], "members"), "near-binned")
+    discard(keyed, bins)
+
+    def side(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select("band", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), *[F.col("root").alias(f"r{x}")] * ("root" in frame.columns))
 
-    cold = keyed.filter(F.col("size") <= BIN).select("band", "row", "n")
-    paired = cold.select("band", F.col("row").alias("a"), F.col("n").alias("na")).join(cold.select("band", F.col("row").alias("b"), F.col("n").alias("nb")), "band").filter("a < b")
-    hot = keyed.filter(F.col("size") > BIN)
-    pivoted = hot.select(F.col("row").alias("a"), F.col("n").alias("na"), F.explode("pivots").alias("p")).select("a", "na", F.col("p.row").alias("b"), F.col("p.n").alias("nb"))
-    pairs = materialize(_ordered("a", "b", "na", "nb", paired.select("a", "na", "b", "nb").unionByName(pivoted)), "near-pairs")
-    sets = signed.select("row", "fp", "shingles")
-    found = materialize(_alike(pairs, sets), "near-found")
+    cold, hot = binned.filter(F.col("size") <= BIN), binned.filter(F.col("size") > BIN)
+    paired = side(cold, "a").join(side(cold, "b"), "band").filter("a < b").drop("band")
+    pivoted = hot.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.explode("pivots").alias("p")).select("a", "na", "fa", F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.fp").alias("fb"))
+    pairs = materialize(_candidates(paired.unionByName(pivoted)), "near-pairs")
+    found = _verified(pairs, signed)
 
     if hot.limit(1).count():
-        roots = materialize(connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "near-roots")
-        rooted = materialize(hot.select("band", "row", "n").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
+        roots = connected_components(found)
+        rooted = materialize(hot.select("band", "row", "n", "fp").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
         largest = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.sum("held").alias("members"))
-        outside = lookup_join(rooted, largest, ["band"], "members").filter("root != largest")
-        outside = materialize(outside.select("band", F.col("row").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "near-outside")
+        outside = materialize(lookup_join(rooted, materialize(largest, "near-largest"), ["band"], "members").filter("root != largest"), "near-outside")
         if outside.limit(1).count():
-            rest = outside.join(rooted.select("band", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "band").filter("ra != rb")
-            rest = materialize(_ordered("a", "b", "na", "nb", rest).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-            found = found.unionByName(materialize(_alike(rest, sets), "near-found"))
-    return same.unionByName(found.filter("fa != fb").select(F.col("fa").alias("src"), F.col("fb").alias("dst"))).distinct()
-
-
-def one_each(docs: DataFrame) -> DataFrame:
-    """Of every group of near copies and SimHash near-duplicates, linked to one another, the row of the smallest doc_id, as simhash.one_each()."""
-    signed = materialize(signatures(docs), "near-signatures")
-    return least_of_each(docs, grouped(signed.select("doc_id", "fp"), further=links(signed)))
+            rest = _candidates(side(outside, "a").join(side(rooted, "b"), "band").filter("ra != rb")).join(pairs, ["src", "dst"], "left_anti")
+            found = found.unionByName(_verified(materialize(rest, "near-rest"), signed))
+    return found
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every group of near copies, linked to one another, one row with all columns of docs: that of the smallest doc_id (a null comes last; ties: the least hash of the text)."""
+    signed = materialize(signatures(docs, id_col, text_col), "near-signatures")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    nodes = materialize(signed.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.min(who).alias("least")), "near-nodes")
+    named = named_by_root(nodes, connected_components(links(signed, nodes)), "row")
+    kept = materialize(named.groupBy("component_id").agg(F.count(F.lit(1)).alias("held")).select("component_id.doc_id", "component_id.copy"), "near-kept")
+    rows = signed.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("held"))
+    mine = [rows["doc_id"].eqNullSafe(kept["doc_id"]), rows["copy"] == kept["copy"]]
+    removed = materialize(rows.join(kept, mine, "left_anti").select("doc_id", "copy"), "near-removed")
+    repeated = materialize(rows.filter("held > 1").join(kept, mine, "left_semi").select("doc_id", "copy"), "near-repeated")
+    left = without(docs, removed, id_col, text_col)
+    if repeated.limit(1).count():  # one of the rows that repeat a kept row's doc_id and text
+        some = matching(left, repeated, "left_semi", id_col, text_col).withColumn("_kelpie_copy", text_hash(F.col(text_col)))
+        left = without(left, repeated, id_col, text_col).unionByName(some.dropDuplicates([id_col, "_kelpie_copy"]).drop("_kelpie_copy"))
+    discard(signed, nodes)
+    return left

@@ -8,9 +8,8 @@ equi-join key, one for each start; the longer chains are checked on the joined
 pair, the longest being the full Hamming check.
 
 Only distinct fingerprints are joined; copies follow by key. A bin with more
-than BIN members is not paired: its members (linked at t <= 2) are grouped by
-their neighbours at one bit instead, at most 65 to a group, and each is linked
-to the group's least. That finds the same components without pairs.
+than BIN members is not paired, but dealt on by further segments of the chain
+until its bins are small, so all pairs pass the same filter, whatever the data.
 
 Edge cases: a null, empty or blank text has the fingerprint zero and is linked
 like any other; fewer words than a shingle has are one shingle; repeated rows
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm.bpe import slices
-from kelpie.llm.common import materialize
+from kelpie.llm.common import any_of, discard, materialize
 from kelpie.llm.components import connected_components
 from kelpie.llm.skew import lookup_join
 
@@ -43,7 +42,11 @@ def fingerprint_of(text: bytes | None, words: int = 3) -> int:
         return 0
     runs = [tokens] if len(tokens) < words else zip(*(tokens[k:] for k in range(words)), strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in map(b" ".join, runs)), dtype=">u8")
+    return majority(np.fromiter((digest(s, 42) for s in map(b" ".join, runs)), dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some big-endian unsigned 64-bit hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a bounded unpacking, also for very long texts
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -62,11 +65,14 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 == 1 else mask
+
+
 def ring(segments: int, bits: int = 64) -> list[int]:
     """The bit mask of each segment, as signed 64-bit integers."""
     edges = [round(i * bits / segments) for i in range(segments + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return [_signed(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def chain_masks(segments: int, start: int) -> list[int]:
@@ -78,75 +84,76 @@ def chain_masks(segments: int, start: int) -> list[int]:
     return out
 
 
+def chained(a: Column, b: Column, distance: int, segments: int, start: int, shortest: int = 1) -> Column:
+    """Whether every chain of `shortest` segments or more from `start` differs within its share of the budget; the longest is the full Hamming check."""
+    differ, kept = a.bitwiseXOR(b), F.lit(True)
+    masks = chain_masks(segments, start)
+    for length in range(shortest, segments + 1):
+        kept = kept & (F.bit_count(differ.bitwiseAND(F.lit(masks[length - 1]))) <= length * distance // segments)
+    return kept
+
+
+def pigeonring(a: Column, b: Column, distance: int, segments: int) -> Column:
+    """Whether two fingerprints pass the chains from some start: true for all that are within the distance, and for no others."""
+    return any_of([chained(a, b, distance, segments, i) for i in range(segments)])
+
+
+def _parts(segments: int, start: int, held: int, ways: int) -> list[int]:
+    """The bits that are not held, in ring order from the start, dealt evenly to `ways` further segments; each with what is held."""
+    edges = [round(i * 64 / segments) for i in range(segments + 1)]
+    left = [b % 64 for b in range(edges[start], edges[start] + 64) if not held >> b % 64 & 1]
+    cut = [round(i * len(left) / ways) for i in range(ways + 1)]
+    return [held | sum(1 << b for b in left[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+
+
 def links(nodes: DataFrame, distance: int = 2, segments: int = 5) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints fp at most `distance` apart that give the same components as all such pairs."""
+    """The edges (src, dst) of all pairs of distinct fingerprints fp at most `distance` apart.
+
+    A bin is known by its start and the bits that its members share. The members
+    of a large one are dealt on: at most `distance` of the bits that they need
+    not share differ, so that of distance + 1 further segments one agrees. That
+    is repeated until all bins are small; then no bit but a few is left to
+    differ in, so the dealing ends.
+    """
     if not 0 < distance < segments:
         raise ValueError("0 < distance < segments")
-    if distance > 2:
-        raise ValueError("bins too large to pair are resolved at one bit from each member, which covers distances up to 2")
-    exact = math.ceil(segments / distance) - 1  # chains whose budget is below one bit
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(chain_masks(segments, i)[exact - 1])) for i in range(segments)])).alias("start", "key"))
-    bins = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    keyed = materialize(keyed.join(bins, ["start", "key"]), "simhash-bins")
-
-    cold = keyed.filter(F.col("members") <= BIN).select("start", "key", "fp")
-    left, right = cold.withColumnRenamed("fp", "src"), cold.withColumnRenamed("fp", "dst")
-    differ = F.col("src").bitwiseXOR(F.col("dst"))
-
-    def within(start: int) -> Column:
-        masks = chain_masks(segments, start)
-        kept = F.lit(True)
-        for length in range(exact + 1, segments + 1):
-            kept = kept & (F.bit_count(differ.bitwiseAND(F.lit(masks[length - 1]))) <= length * distance // segments)
-        return kept
-
-    chained = F.lit(False)
-    for i in range(segments):
-        chained = chained | ((F.col("start") == i) & within(i))
-    pairs = left.join(right, ["start", "key"]).filter(F.col("src") < F.col("dst")).filter(chained).select("src", "dst")
-
-    hot = keyed.filter(F.col("members") > BIN).select("fp").distinct()
-    near = hot.select("fp", F.explode(F.expr("transform(sequence(0, 64), k -> if(k = 64, fp, fp ^ shiftleft(1L, k)))")).alias("near"))
-    if distance == 1:  # two members with a neighbour in common may be two bits apart
-        stars = near.filter(F.col("near") < F.col("fp")).join(hot.select(F.col("fp").alias("near")), "near", "left_semi").select(F.col("near").alias("src"), F.col("fp").alias("dst"))
-        return pairs.unionByName(stars)
-    stars = near.groupBy("near").agg(F.min("fp").alias("src"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    stars = stars.select("src", F.explode("all").alias("dst")).filter(F.col("src") != F.col("dst"))
-    return pairs.unionByName(stars)
+    shortest = math.ceil(segments / distance)  # chains below it have a budget below one bit, so their segments agree
+    found = None
+    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.lit(_signed(chain_masks(segments, i)[shortest - 2])).alias("mask")) for i in range(segments)])).alias("b"))
+    while True:
+        keyed = keyed.select("fp", "b.start", "b.mask", F.col("fp").bitwiseAND(F.col("b.mask")).alias("key"))
+        bins = materialize(keyed.groupBy("start", "mask", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("size", F.col("members")), "simhash-bins")
+        binned = materialize(lookup_join(keyed, bins, ["start", "mask", "key"], "members"), "simhash-binned")
+        large = (F.col("size") > BIN) & (F.bit_count("mask") < 64 - distance)  # where fewer bits are left, all members are within the distance
+        small = binned.filter(~large)
+        left, right = (small.select("start", "mask", "key", F.col("fp").alias(x)) for x in ("src", "dst"))
+        passed = any_of([(F.col("start") == i) & chained(F.col("src"), F.col("dst"), distance, segments, i, shortest) for i in range(segments)])
+        pairs = left.join(right, ["start", "mask", "key"]).filter(F.col("src") < F.col("dst")).filter(passed).select("src", "dst")
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = {(r["start"], r["mask"] & (1 << 64) - 1) for r in bins.filter(large).select("start", "mask").distinct().collect()}  # of the masks of this step, whose number the data cannot raise
+        discard(bins)
+        if not hot:
+            return found.distinct()
+        dealt = [(i, _signed(m), _signed(x)) for i, m in sorted(hot) for x in _parts(segments, i, m, distance + 1)]
+        further = nodes.sparkSession.createDataFrame(dealt, "start int, mask long, finer long")
+        some = binned.filter(large).join(F.broadcast(further), ["start", "mask"])
+        keyed = some.select("fp", F.struct("start", F.col("finer").alias("mask")).alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hexadecimal digits, and the smallest doc_id reachable over links."""
     fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
-    return grouped(fps, distance, segments)
-
-
-def grouped(fps: DataFrame, distance: int = 2, segments: int = 5, further: DataFrame | None = None) -> DataFrame:
-    """near_duplicates() of the fingerprints (doc_id, fp), read again and again; `further` are edges (src, dst) between fingerprints beside those of links()."""
-    nodes = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    nodes = materialize(nodes, "simhash-nodes")
-    edges = links(nodes.select("fp"), distance, segments)
-    if further is not None:
-        edges = edges.unionByName(further)
-    roots = connected_components(edges)  # only of fingerprints that have a link
-    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = rooted.filter(F.col("root") != F.col("fp")).select("root").distinct()
-    least = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("reached"))
-    named = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("reached", "least").alias("component_id"))
+    nodes = materialize(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp"), distance, segments))  # only of fingerprints that have a link
+    named = named_by_root(nodes, roots, "fp")
     out = lookup_join(fps, named, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_each(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 5) -> DataFrame:
-    """Of every group of near-duplicates the row of the smallest doc_id, with all columns of docs; rows without a doc_id cannot be told apart and all stay."""
-    return least_of_each(docs, near_duplicates(docs, words, distance, segments))
-
-
-def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """one_each() of docs whose groups (doc_id, component_id) are known."""
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = materialize(kept.withColumnRenamed("doc_id", "_kept"), "simhash-kept")
-    named = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    if kept.filter("_rows > 1").limit(1).count():  # repeated rows of a kept document
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+def named_by_root(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, n, component_id): of every node (its rows n, its least value) the least value of its component; roots (node, root) has the nodes with a link."""
+    rooted = nodes.join(roots.withColumnRenamed("node", node), node, "left")
+    linked = materialize(rooted.filter("root is not null"), "rooted")
+    least = linked.groupBy("root").agg(F.min("least").alias("reached"), F.count(F.lit(1)).alias("held"))
+    named = lookup_join(linked.select(node, "n", "root"), materialize(least, "rooted-least"), ["root"], "held").select(node, "n", F.col("reached").alias("component_id"))
+    return named.unionByName(rooted.filter("root is null").select(node, "n", F.col("least").alias("component_id")))

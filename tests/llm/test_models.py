@@ -11,6 +11,7 @@ import pytest
 import public_tokenizers as P
 from kelpie.llm import html_density, interpolation, sharding, toxicity
 from tests.llm.conftest import SCHEMA, edge_rows, row, sentence
+from tests.llm.test_near_copies import brute_kept
 
 
 @pytest.mark.parametrize("ways", [2, 3, 7])
@@ -256,19 +257,13 @@ def test_pipeline(spark, tmp_path):
         left.append({r.doc_id for r in now.collect()})
     bad = {i for i, _, t in labels if t}
     assert left[0] == {r[0] for r in rows} - bad
-    groups = brute_groups([(i, t) for i, t, *_ in (r[:5] for r in rows) if i in left[0]])
+    groups = set(brute_kept([(i, t) for i, t, *_ in (r[:5] for r in rows) if i in left[0]]))  # near copies: five words, 0.8 alike
     assert left[1] == groups and 1003 in left[1] and 1004 not in left[1] and 1000 not in left[1]
     assert left[2] == left[1] - {1002}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == left[2]
 
 
-def brute_groups(rows):
-    from tests.llm.test_similarity import brute_components, brute_simhash
-
-    return set(brute_components([(i, brute_simhash(t)) for i, t in rows]))
-
-
 def test_registered():
     import __spark_entry__
 

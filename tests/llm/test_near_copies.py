@@ -16,8 +16,8 @@ def brute_set(text):
 
 
 def brute_kept(rows):
-    """The smallest doc_id of each component of near copies and fingerprints within 2 bits."""
-    sets, fps, parent = [brute_set(t) for _, t in rows], [brute_simhash(t) for _, t in rows], list(range(len(rows)))
+    """(doc_id, text) of the row that stays of each component of near copies."""
+    sets, parent = [brute_set(t) for _, t in rows], list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -25,13 +25,12 @@ def brute_kept(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] == sets[b] or (fps[a] ^ fps[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
             parent[root(a)] = root(b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            least[root(k)] = min(least.get(root(k), i), i)
-    return sorted(set(least.values()))
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(root(k), []).append(row)
+    return sorted(min((i for i, _ in g if i is not None), default=-99) for g in groups.values())
 
 
 def copies(groups, each):
@@ -49,13 +48,17 @@ def copies(groups, each):
     return rows
 
 
+def ids(frame):
+    return sorted(r.doc_id if r.doc_id is not None else -99 for r in frame.collect())
+
+
 def test_pipeline_removes_loose_copies(spark):
     import corpus_pipeline
 
     rows = copies(6, 8)
     assert len({brute_simhash(t) for _, t in rows}) == len(rows)
     kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame([row(*r) for r in rows], SCHEMA), "")
-    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows) and kept.columns[0] == "doc_id"
+    assert ids(kept) == brute_kept(rows) and kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert len(brute_kept(rows)) < len(rows) / 3
 
 
@@ -64,9 +67,17 @@ def test_against_brute_force(spark, monkeypatch, bin_size):
     """Stars, chains and the edge cases, also with bins too large to pair."""
     monkeypatch.setattr(near_copies, "BIN", bin_size)
     rows = copies(4, 30) + [(r[0] + 100_000 if r[0] is not None else None, r[1]) for r in edge_rows()]
-    kept = near_copies.one_each(spark.createDataFrame([row(*r) for r in rows], SCHEMA).repartition(3)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == brute_kept(rows)
-    assert sum(r.doc_id is None for r in kept) == sum(i is None for i, _ in rows)
+    kept = near_copies.one_each(spark.createDataFrame([row(*r) for r in rows], SCHEMA).repartition(3))
+    assert ids(kept) == brute_kept(rows)
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """Other texts under one id stay, copies under another's id go, and of repeated rows one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    for rows, want in (([(3, a), (3, b), (4, c)], [(3, a), (3, b), (4, c)]), ([(2, a), (3, a), (3, b)], [(2, a), (3, b)]), ([(None, a), (None, b), (None, b), (5, a)], [(5, a), (None, b)]), ([(1, a), (1, a), (1, a), (2, None), (2, ""), (7, b)], [(1, a), (7, b)])):
+        kept = [(r.doc_id, r.text) for r in near_copies.one_each(spark.createDataFrame([row(*r) for r in rows], SCHEMA)).collect()]
+        assert sorted(map(repr, (r for r in kept if r[1]))) == sorted(map(repr, want))
+        assert sum(not t for _, t in kept) == any(not t for _, t in rows)
 
 
 def test_no_rows(empty):
