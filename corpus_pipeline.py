@@ -4,8 +4,9 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a frame, which run() writes as Parquet in the shared folder and reads
 again as the next one's docs. Every stage but the last returns the columns of
 documents. ORACLE_SQL is None, as the first two stages (a learned grammar,
-components of fingerprints) have no SQL; tests hold the stages against
-brute-force versions instead.
+components of near copies) have no SQL; tests hold the stages against
+brute-force versions instead. Rows are known by doc_id and text, so no stage
+takes a clean row for one that shares its doc_id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, 0.8 alike) and SimHash near-duplicates the document of the smallest doc_id."""
+    """Of each group of near copies (sets of 5-word shingles, 0.8 alike) the document of the smallest doc_id."""
     return near_copies.one_each(docs)
 
 
