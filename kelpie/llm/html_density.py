@@ -9,11 +9,12 @@ from the characters C, tags T, link characters LC and link tags LT below it, and
 the page's share of link characters LCb/Cb (zero denominators count as one; on a
 page without links the density is C/T). The density sum of a block is the sum
 over its child blocks. The block of the largest sum is the seed; the threshold
-is the smallest density on the path from it to the body. Subtrees at or above
-the threshold belong to the text: the selection is the article or main element
-around the seed or, without one, the body less the blocks beside the path that
-fall short of the threshold and hold more link characters than others. Headings,
-paragraphs and short sections without many links are thin, but are text.
+is the smallest density on the path from it to the body. A block beside that path
+belongs to the text if it reaches the threshold; a heading does without. Close to
+the seed (in the article or main element around it, else in its parent, or under
+the body a section of the seed's kind with a heading of its own) short sections
+are thin but are text, so there only blocks under the threshold that are links
+for the most part go. Inside whatever is kept, such blocks of links go as well.
 
 Before that, what is never article text is taken out: scripts, styles, forms,
 menus, page headers and footers, sidebars, hidden parts, and elements whose
@@ -44,6 +45,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _NAMES = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -78,15 +80,16 @@ NAMED_OUT = frozenset(
 NAMED_DOUBTFUL = frozenset("banner notice notices alert footer header masthead toolbar related recommended recommendations share sharing social widget widgets pagination pager login signup search skip overlay aside topbar".split())
 NAMED_CONTENT = frozenset("article content entry main post story text body page".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never taken for a list of links.
-KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+KEPT = HEADINGS | {"p"}
 
 
 class Block:
-    __slots__ = ("name", "parent", "out", "hint", "chars", "tags", "link_chars", "link_tags", "children", "density", "total")
+    __slots__ = ("name", "parent", "out", "chars", "tags", "link_chars", "link_tags", "children", "density", "total")
 
-    def __init__(self, name: str, parent: Block | None, out: bool, hint: bool):
-        self.name, self.parent, self.out, self.hint = name, parent, out, hint
+    def __init__(self, name: str, parent: Block | None, out: bool):
+        self.name, self.parent, self.out = name, parent, out
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.children: list[Block] = []
         self.density = self.total = 0.0
@@ -94,27 +97,25 @@ class Block:
             parent.children.append(self)
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes take it out, and whether they name it as content."""
-    out = hint = False
+def _named_out(attributes: str) -> bool:
+    """Whether an element's attributes take it out."""
+    out = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role", "itemprop"):
             names = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
-            content = bool(names & NAMED_CONTENT)
-            hint |= content or value.lower() == "articlebody"
-            out |= bool(names & NAMED_OUT) or (bool(names & NAMED_DOUBTFUL) and not content)
+            out |= bool(names & NAMED_OUT) or (bool(names & NAMED_DOUBTFUL) and not names & NAMED_CONTENT)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             out = True
-    return out, hint
+    return out
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[Block, list[str]]], float]:
     """The blocks in page order, the runs of text with the block they stand in, and the share of link characters of the whole page."""
-    root = Block("html", None, False, False)
+    root = Block("html", None, False)
     blocks, runs = [root], []
-    stack: list[tuple[str, Block]] = []  # open elements; inline ones stand with the block around them
-    at_block, in_link = root, 0
+    stack: list[tuple[str, Block, int, int]] = []  # open elements and the links open before them; inline ones stand with the block around them
+    at_block, in_link, wide = root, 0, 0  # wide: of the open links those that are closed, and so hold the blocks inside them
     run: list[str] = []
     all_chars = all_links = 0
     inside = 0  # depth of article and main
@@ -142,17 +143,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[Block, list[str]]], float]
             run = []
 
     def close(depth: int) -> None:
-        nonlocal at_block, in_link, inside
+        nonlocal at_block, in_link, wide, inside
         while len(stack) > depth:
-            name, block = stack.pop()
+            name, block, links, wide_links = stack.pop()
             if block is not at_block or name in BLOCK:
                 cut()
             if name in BLOCK:
                 at_block = block.parent or root
-                in_link = 0
                 inside -= name in ("article", "main")
-            elif name == "a":
-                in_link = max(0, in_link - 1)
+            if name in BLOCK or name == "a":
+                in_link, wide = links, wide_links
 
     def find(names: set[str], limits) -> int | None:
         for i in range(len(stack) - 1, -1, -1):
@@ -192,24 +192,24 @@ def parse(page: str) -> tuple[list[Block], list[tuple[Block, list[str]]], float]
             continue
         if name in BLOCK or name in RAW:
             cut()
-            out, hint = _named(attributes) if attributes and name not in ("html", "body") else (False, False)
-            if name in ("article", "main"):
-                out = False
+            out = bool(attributes) and name not in ("html", "body", "article", "main") and _named_out(attributes)
             out |= name in NEVER_TEXT or name == "footer" or name == "header" and not inside
-            block = Block(name, at_block, out or at_block.out, hint)
+            block = Block(name, at_block, out or at_block.out)
             blocks.append(block)
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            stack.append((name, block))
-            at_block, in_link = block, 0
+            stack.append((name, block, in_link, wide))
+            at_block, in_link = block, wide
             inside += name in ("article", "main")
         else:
             if not attributes.rstrip().endswith("/") or name == "a":
-                stack.append((name, at_block))
+                stack.append((name, at_block, in_link, wide))
             if name == "a":
+                ends = _ANCHOR.search(page, at)
                 in_link += 1
+                wide += ends is not None and ends[1] == "/"
                 at_block.link_tags += not at_block.out
     rest = page[at:]
     if (i := rest.rfind("<")) >= 0 and re.match(r"</?[a-zA-Z][^<>]*$", rest[i:]):
@@ -231,10 +231,8 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, links: flo
     return chars / tags * max(0.0, math.log(max(y, 1)) / math.log(max(x, 1 + 1e-9))) if x > 1 + 1e-9 else chars / tags
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    blocks, runs, links = parse(page)
+def measure(blocks: list[Block], links: float) -> list[Block]:
+    """Sums up counts from the children, sets densities and density sums; returns the blocks with text."""
     for b in reversed(blocks):  # children come after their parent
         if b.parent is not None and not b.out:
             p = b.parent
@@ -244,41 +242,58 @@ def main_text(page: str | None) -> str:
             p.link_tags += b.link_tags
         b.density = composite(b.chars, b.tags, b.link_chars, b.link_tags, links) if not b.out else 0.0
     kept = [b for b in blocks if not b.out and b.chars]
-    if not kept:
-        return ""
     for b in kept:
         b.total = sum(c.density for c in b.children if not c.out)
-    best = max(kept, key=lambda b: b.total)  # of equals the first, the outermost
-    path = [best]
-    while path[-1].parent is not None:
+    return kept
+
+
+def select(blocks: list[Block], kept: list[Block]) -> set[Block]:
+    """The blocks whose own runs of text belong to the text."""
+    seed = max(kept, key=lambda b: b.total)  # of equals the first, the outermost
+    path = [seed]
+    while path[-1].parent is not None and path[-1].name != "body":
         path.append(path[-1].parent)
-    bodies = [i for i, b in enumerate(path) if b.name == "body"]
-    path = path[: bodies[-1] + 1] if bodies else path
-    threshold = min(b.density for b in path)
-    dropped: set[Block] = set()
-    semantic = [b for b in path if b.name in ("article", "main")]
-    if semantic:
-        best = semantic[0]
-    else:
-        best = path[-1]
-        dropped = {c for b in path[1:] for c in b.children if c not in path and c.density < threshold and 2 * c.link_chars > c.chars and c.name not in KEPT}
-        within = [b for b in kept if (b.name in ("article", "main") or b.hint) and 2 * b.chars > best.chars and _under(b, best)]
-        if within and best.name in ("html", "body"):
-            best = within[0]
-    lines = []
-    for block, run in runs:
-        if line := " ".join("".join(run).split()):
-            if _under(block, best) and not any(_under(block, b) for b in dropped):
-                lines.append(line)
-    return "\n".join(lines)
-
-
-def _under(block: Block | None, top: Block) -> bool:
-    while block is not None:
-        if block is top:
-            return True
-        block = block.parent
-    return False
+    threshold, top = min(b.density for b in path), path[-1]
+    around = [b for b in path if b.name in ("article", "main")]
+    parent = path[1] if len(path) > 2 else seed
+    core = around[0] if around else parent
+    headed: set[Block] = set()
+    for b in kept:
+        if b.name in HEADINGS:
+            up = b.parent
+            while up is not None and up not in headed:
+                headed.add(up)
+                up = up.parent
+    on_path, chosen, inside = set(path), set(), set()
+    for b in blocks:  # parents come first
+        if b is top or b.out or b.parent not in chosen:
+            taken = b is top
+        elif b in on_path:
+            taken = True
+        elif b.density >= threshold:
+            taken = True
+        elif b.name not in KEPT and 2 * b.link_chars > b.chars:
+            taken = False
+        else:
+            akin = b.parent is seed.parent and b.name == seed.name and b in headed
+            taken = b.parent in inside or b.name in HEADINGS or akin
+        if taken:
+            chosen.add(b)
+            if b is core or b.parent in inside or b not in on_path:
+                inside.add(b)
+    return chosen
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    blocks, runs, links = parse(page)
+    kept = measure(blocks, links)
+    if not kept:
+        return ""
+    chosen = select(blocks, kept)
+    lines = (" ".join("".join(run).split()) for block, run in runs if block in chosen)
+    return "\n".join(line for line in lines if line)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

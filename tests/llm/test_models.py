@@ -1,6 +1,7 @@
 """Sharding, the language model, toxicity, HTML extraction and the pipeline against brute force and planted cases."""
 
 import collections
+import html.parser
 import math
 import random
 import zlib
@@ -212,6 +213,119 @@ def test_unequal_sections_without_article():
         assert "A short heading\nA short paragraph of the second section, kept." in text and "other page" not in text and "word19" in text
 
 
+def test_density_decides_without_known_names():
+    """No article, main or telling class: the menu of links, the list of links inside the content and the thin box beside it go, by density alone."""
+    prose = "".join(f"<p>{f'word{i} and more ' * 20}</p>" for i in range(6))
+    menu = "<div class=x1>" + "".join(f"<a href=m{i}>menu entry {i}</a>" for i in range(8)) + "</div>"
+    inner = "<ul>" + "".join(f"<li><a href=r{i}>read this too {i}</a></li>" for i in range(5)) + "</ul>"
+    box = "<div class=x3><span>A</span> <span>thin</span> <span>box</span></div>"
+    text = html_density.main_text(f"<html><body>{menu}<div class=x2><h2>Head</h2>{prose}{inner}<p>The end.</p></div>{box}</body></html>")
+    assert text.startswith("Head\nword0 and more") and text.endswith("The end.")
+    assert not any(x in text for x in ("menu entry", "read this too", "thin"))
+
+
+def test_links_around_blocks_count():
+    blocks, _, links = html_density.parse("<body><a href=x><div>twenty-four characters..</div></a><div>plain</div><p><a href=y>never closed<div>after</div></body>")
+    html_density.measure(blocks, links)
+    card, plain, after = (b for b in blocks if b.name == "div")
+    assert (card.chars, card.link_chars, plain.link_chars, after.link_chars) == (24, 24, 0, 0)
+
+
+class Tree(html.parser.HTMLParser):
+    """A plain tree of a well-formed page, with its text and counts worked out by recursion."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.top = self.at = {"name": "html", "up": None, "parts": []}
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        new = {"name": tag, "up": self.at, "parts": []}
+        self.at["parts"].append(new)
+        self.at = new
+
+    def handle_endtag(self, tag):
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["parts"].append(data)
+
+
+def brute_density(page):
+    def blocks(n):
+        return [n, *(x for p in n["parts"] if isinstance(p, dict) for x in blocks(p))]
+
+    def counts(n, linked=False):
+        c = t = lc = lt = 0
+        for p in n["parts"]:
+            if isinstance(p, str):
+                c, lc = c + len(p), lc + len(p) * linked
+            else:
+                a, b, d, e = counts(p, linked or p["name"] == "a")
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (p["name"] == "a")
+        return c, t, lc, lt
+
+    tree = Tree(page)
+    every = [b for b in blocks(tree.top) if b["name"] != "a"]
+    c, _, lc, _ = counts(tree.top)
+    share = lc / c
+    density = {id(b): html_density.composite(*counts(b), share) for b in every}
+    children = lambda b: [p for p in b["parts"] if isinstance(p, dict) and p["name"] != "a"]
+    seed = max(every, key=lambda b: sum(density[id(x)] for x in children(b)))
+    path = [seed]
+    while path[-1]["name"] != "body":
+        path.append(path[-1]["up"])
+    least = min(density[id(b)] for b in path)
+    core = path[1] if len(path) > 2 else seed
+
+    def lines(b, inside):
+        out, run = [], ""
+        for p in [*b["parts"], None]:
+            if isinstance(p, dict) and p["name"] != "a" or p is None:
+                out.append(run)
+                run = ""
+            if isinstance(p, str):
+                run += p
+            elif p is not None and p["name"] == "a":
+                run += "".join(p["parts"])
+            elif p is not None:
+                n = counts(p)
+                heading = p["name"] == "h2"
+                linked = 2 * n[2] > n[0] and p["name"] not in ("h2", "p")
+                akin = p["up"] is seed["up"] and p["name"] == seed["name"] and any(x["name"] == "h2" and counts(x)[0] for x in blocks(p))
+                if any(p is x for x in path):
+                    out += lines(p, inside or p is core)
+                elif density[id(p)] >= least or not linked and (inside or heading or akin):
+                    out += lines(p, True)
+        return out
+
+    body = path[-1]
+    return "\n".join(x for x in (" ".join(r.split()) for r in lines(body, body is core)) if x)
+
+
+def test_text_density_against_brute_force():
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "de", "epsilon"]) for _ in range(n))
+
+    def element(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "section"] if depth else ["p", "p", "h2", "ul"])
+        if kind == "h2":
+            return f"<h2>{words(rng.randrange(1, 6))}</h2>"
+        if kind == "p":
+            return f"<p>{words(rng.choice([3, 30, 90]))}" + f" <a>{words(2)}</a>" * rng.randrange(3) + "</p>"
+        if kind == "ul":
+            return "<ul>" + "".join(rng.choice([f"<li><a>{words(3)}</a></li>", f"<li>{words(5)}</li>"]) for _ in range(rng.randrange(1, 6))) + "</ul>"
+        return f"<{kind}>" + rng.choice(["", words(4)]) + "".join(element(depth - 1) for _ in range(rng.randrange(1, 6))) + f"</{kind}>"
+
+    dropped = 0
+    for _ in range(300):
+        page = "<html><body>" + "".join(element(3) for _ in range(rng.randrange(2, 7))) + "</body></html>"
+        want = brute_density(page)
+        assert html_density.main_text(page) == want, page
+        dropped += len(want.split()) < len(Tree(page).top and html_density.re.sub(r"<[^>]*>", " ", page).split())
+    assert dropped > 100
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<div>", "<p", "<a href='x", "</p></b></div>", "<table><tr><td>", "<!-- never closed", "<script>x", "&", "<p><p><p>"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_density.main_text(page), str)
