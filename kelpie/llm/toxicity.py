@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insults (by strength 1 to 9), threats, targets, negations,
-reporting verbs, quotes, clause bounds and other words. Three transducers over
-these symbols, for negation, reported speech and targets, each pass a symbol on
-with a weight that depends on what stood before it in the clause. They are
-composed once into one deterministic automaton with the product weights, which
-scores every clause that holds an insult or a threat: the clause's gains, not
-the words alone, count. Damped gains (negated, quoted or reported) are kept
-apart from plain ones, and a logistic model on the clause scores gives 0 to 1.
+Words become symbols: insults (by strength 1 to 9), verbs of threat, targets,
+negations, reporting verbs, quotes, copulas, intensifiers, words of intent, clause
+bounds and other words. Five transducers over these symbols are composed once
+into one deterministic automaton. Two of them give gains: insults (more after a
+copula or an intensifier) and threats (a verb of threat, more after a word of
+intent, and again when the target follows it). Three weigh the gains: targets
+before them raise, negation and reported speech damp. The automaton scores every
+clause that holds an insult or a threat: the clause's gains, not the words alone,
+count. Damped gains are kept apart from plain ones, and a logistic model on the
+clause scores gives 0 to 1.
 
 The general lists of words below are fixed; the strengths of insults, and
 further insults or stems that mark toxic texts, are learned from labelled rows:
@@ -37,8 +39,8 @@ from kelpie.llm.common import discard, fold_of, materialize
 
 #: Bound of the labelled sample; folds, and the one whose labels are never seen; decision threshold.
 TRAIN_ROWS, FOLDS, UNSEEN, THRESHOLD = 20_000, 4, 2, 0.3
-#: A learned term covers so many texts at least, has so high a log odds at least, and there are so many at most.
-LEAST_TEXTS, LEAST_ODDS, MOST_TERMS = 3, 3.0, 2_000
+#: A learned term covers so many texts at least and has so high a log odds at least.
+LEAST_TEXTS, LEAST_ODDS = 3, 3.0
 CACHE_TOKENS = 250_000
 
 INSULTS = "idiot idiots moron morons stupid trash loser losers clown clowns scum pathetic disgusting worthless imbecile dumb dumbass jerk bastard asshole bitch cretin fool foolish garbage filth vermin degenerate retard ugly freak pig creep lowlife connard imbécile crétin salaud ordure dummkopf arschloch abschaum trottel idiota estúpido imbécil basura asqueroso".split()
@@ -47,24 +49,28 @@ TARGETS = "you your yours yourself u ur he him his she her they them their tu vo
 NEGATIONS = "not no never neither nor hardly isn't aren't wasn't don't doesn't didn't ain't pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says say told called calls wrote writes quoted reported claimed according dit disait sagte sagt dijo dice".split()
 
-HITS = "123456789T"
-SYMBOLS = HITS + "YNRQBO"
+COPULAS = "is are am was were be being been you're he's she's they're es est ist bist sind eres sois son".split()
+INTENSIFIERS = "so such very really total totally complete completely utter utterly absolute absolutely fucking damn bloody tellement vraiment sehr echt tan muy".split()
+INTENTS = "will gonna going want wants shall should must i'll we'll ought deserve deserves vais va allons werde werden soll voy vamos debe".split()
+
+INSULT, HITS = "123456789", "123456789T"
+SYMBOLS = HITS + "YNRQBCIWO"
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:]+|[\"“”«»„]")
 _BOUND, _QUOTE = ".!?;:", "\"“”«»„"
 
 
 class Transducer:
-    """Deterministic: for each state and symbol the next state, a weight, and whether the symbol is damped."""
+    """Deterministic: for each state and symbol the next state, a gain, a weight of all gains, and whether the gains are damped; no arc: the state stays."""
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, float, bool]]):
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, float, float, bool]]):
         self.arcs = arcs
 
-    def step(self, state: int, symbol: str) -> tuple[int, float, bool]:
-        return self.arcs.get((state, symbol), (state, 1.0, False))
+    def step(self, state: int, symbol: str) -> tuple[int, float, float, bool]:
+        return self.arcs.get((state, symbol), (state, 0.0, 1.0, False))
 
     @staticmethod
     def compose(*parts: Transducer) -> list[dict[str, tuple[int, float, bool]]]:
-        """The product automaton, from the states reachable: transitions by state and symbol, with the product of the weights."""
+        """The product automaton, from the states reachable: by state and symbol the next state, the sum of the gains times the product of the weights, and whether it is damped."""
         start = (0,) * len(parts)
         number, todo, table = {start: 0}, [start], []
         while todo:
@@ -72,53 +78,86 @@ class Transducer:
             row = {}
             for symbol in SYMBOLS:
                 steps = [p.step(s, symbol) for p, s in zip(parts, now, strict=True)]
-                to = tuple(s for s, _, _ in steps)
+                to = tuple(s[0] for s in steps)
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
-                row[symbol] = (number[to], math.prod(w for _, w, _ in steps), any(d for _, _, d in steps))
+                row[symbol] = (number[to], sum(s[1] for s in steps) * math.prod(s[2] for s in steps), any(s[3] for s in steps))
             table.append(row)
         return table
 
 
-def negation(scope: int = 3, weight: float = 0.3) -> Transducer:
-    """An insult or a threat at most `scope` symbols after a negation is damped."""
-    arcs: dict[tuple[int, str], tuple[int, float, bool]] = {}
+def insults(scope: int = 3, raised: float = 1.3) -> Transducer:
+    """An insult gains its strength, more if at most `scope` symbols after a copula or an intensifier ("you are an idiot", "such a fool")."""
+    arcs = {}
     for left in range(scope + 1):
-        arcs[left, "N"] = (scope, 1.0, False)
-        arcs[left, "B"] = (0, 1.0, False)
-        for s in "YRQO":
-            arcs[left, s] = (max(0, left - 1), 1.0, False)
-        for s in HITS if left else "":
-            arcs[left, s] = (0, weight, True)
+        for s in SYMBOLS:
+            gain = int(s) / 9 * (raised if left else 1.0) if s in INSULT else 0.0
+            arcs[left, s] = (scope if s in "CI" else 0 if s == "B" else max(0, left - 1), gain, 1.0, False)
+    return Transducer(arcs)
+
+
+def threats(scope: int = 3, bare: float = 0.1, meant: float = 0.3, aimed: float = 0.2) -> Transducer:
+    """A verb of threat gains a little, more at most `scope` symbols after a word of intent, and again when a target follows at most two symbols later ("I will kill you").
+
+    States 1 to scope count down after a word of intent, scope + 1 and scope + 2 wait for the target.
+    """
+    arcs = {}
+    for state in range(scope + 3):
+        waits = max(0, state - scope)
+        for s in SYMBOLS:
+            left = scope + waits - 1 if waits > 1 else 0 if waits else max(0, state - 1)
+            arcs[state, s] = (left, 0.0, 1.0, False)
+        arcs[state, "B"] = (0, 0.0, 1.0, False)
+        arcs[state, "W"] = (scope, 0.0, 1.0, False)
+        arcs[state, "T"] = (scope + 2, meant if 0 < state <= scope else bare, 1.0, False)
+        if waits:
+            arcs[state, "Y"] = (0, aimed, 1.0, False)
+    return Transducer(arcs)
+
+
+def negation(scope: int = 3, weight: float = 0.3) -> Transducer:
+    """An insult or a threat at most `scope` symbols after a negation is damped, and with a threat the target after it (states beyond scope)."""
+    arcs = {}
+    for state in range(scope + 3):
+        after = max(0, state - scope)
+        for s in SYMBOLS:
+            left = scope + after - 1 if after > 1 else 0 if after else max(0, state - 1)
+            arcs[state, s] = (left, 0.0, 1.0, False)
+        arcs[state, "N"] = (scope, 0.0, 1.0, False)
+        arcs[state, "B"] = (0, 0.0, 1.0, False)
+        if after:
+            arcs[state, "Y"] = (0, 0.0, weight, True)
+        elif state:
+            for s in INSULT:
+                arcs[state, s] = (0, 0.0, weight, True)
+            arcs[state, "T"] = (scope + 2, 0.0, weight, True)
     return Transducer(arcs)
 
 
 def reported(weight: float = 0.5) -> Transducer:
-    """After a reporting verb (1) to the clause's end, or between quotes (2), hits are damped."""
-    arcs: dict[tuple[int, str], tuple[int, float, bool]] = {(0, "R"): (1, 1.0, False), (1, "B"): (0, 1.0, False), (2, "B"): (0, 1.0, False), (0, "Q"): (2, 1.0, False), (1, "Q"): (2, 1.0, False), (2, "Q"): (0, 1.0, False)}
-    for s in HITS:
-        arcs[1, s] = (1, weight, True)
-        arcs[2, s] = (2, weight, True)
+    """After a reporting verb (1) to the clause's end, or between quotes (2), gains are damped."""
+    arcs = {(state, "B"): (0, 0.0, 1.0, False) for state in (1, 2)} | {(0, "R"): (1, 0.0, 1.0, False), (0, "Q"): (2, 0.0, 1.0, False), (1, "Q"): (2, 0.0, 1.0, False), (2, "Q"): (0, 0.0, 1.0, False)}
+    for state in (1, 2):
+        for s in HITS + "Y":
+            arcs[state, s] = (state, 0.0, weight, s in HITS)
     return Transducer(arcs)
 
 
 def targeted(scope: int = 4, insult: float = 1.5, threat: float = 4.0) -> Transducer:
     """A hit at most `scope` symbols after a target weighs more, a threat above all."""
-    arcs: dict[tuple[int, str], tuple[int, float, bool]] = {}
+    arcs = {}
     for left in range(scope + 1):
-        arcs[left, "Y"] = (scope, 1.0, False)
-        arcs[left, "B"] = (0, 1.0, False)
-        for s in "NRQO":
-            arcs[left, s] = (max(0, left - 1), 1.0, False)
+        for s in SYMBOLS:
+            arcs[left, s] = (max(0, left - 1), 0.0, 1.0, False)
+        arcs[left, "Y"] = (scope, 0.0, 1.0, False)
+        arcs[left, "B"] = (0, 0.0, 1.0, False)
         for s in HITS if left else "":
-            arcs[left, s] = (left, threat if s == "T" else insult, False)
+            arcs[left, s] = (left, 0.0, threat if s == "T" else insult, False)
     return Transducer(arcs)
 
 
-GRAMMAR = Transducer.compose(negation(), reported(), targeted())
-#: What a hit alone is worth; a threat counts with its target above all.
-VALUE = {str(k): k / 9 for k in range(1, 10)} | {"T": 0.1}
+GRAMMAR = Transducer.compose(insults(), threats(), targeted(), negation(), reported())
 
 
 class Lexicon:
@@ -127,7 +166,7 @@ class Lexicon:
     def __init__(self, learned: dict[str, float] | None = None):
         learned = learned or {}
         strength = lambda odds: str(int(min(9, max(1, round(1.5 * odds)))))
-        self.words = {w: "R" for w in REPORTS} | {w: "N" for w in NEGATIONS} | {w: "Y" for w in TARGETS} | {w: "T" for w in THREATS} | {w: "4" for w in INSULTS}
+        self.words = {w: "I" for w in INTENSIFIERS} | {w: "C" for w in COPULAS} | {w: "W" for w in INTENTS} | {w: "R" for w in REPORTS} | {w: "N" for w in NEGATIONS} | {w: "Y" for w in TARGETS} | {w: "T" for w in THREATS} | {w: "4" for w in INSULTS}
         for term, odds in learned.items():
             if not term.endswith("*"):
                 self.words[term] = strength(odds)
@@ -165,26 +204,25 @@ def clause_score(symbols: str) -> tuple[float, float]:
     """Plain and damped gains of a clause."""
     state, plain, damped = 0, 0.0, 0.0
     for s in symbols:
-        state, weight, damp = GRAMMAR[state][s]
-        if s in VALUE:
-            if damp:
-                damped += VALUE[s] * weight
-            else:
-                plain += VALUE[s] * weight
-    return min(plain, 2.0), min(damped, 2.0)
+        state, gain, damp = GRAMMAR[state][s]
+        if damp:
+            damped += gain
+        else:
+            plain += gain
+    return plain, damped
 
 
 _HIT = re.compile("[1-9T]")
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
-    """Largest clause, sum of plain gains, sum of damped gains, and plain gains a clause; the sums on a log scale."""
+    """Largest clause, sum of plain gains, sum of damped gains, all on a log scale, and plain gains a clause."""
     clauses = lexicon.clauses(text or "")
     scores = [clause_score(c) for c in clauses if _HIT.search(c)]
     if not scores:
         return 0.0, 0.0, 0.0, 0.0
     plain, damped = sum(p for p, _ in scores), sum(d for _, d in scores)
-    return max(p for p, _ in scores), math.log1p(plain), math.log1p(damped), plain / (1 + len(clauses))
+    return math.log1p(max(p for p, _ in scores)), math.log1p(plain), math.log1p(damped), plain / (1 + len(clauses))
 
 
 #: Without labels: bias and weights of the features.
@@ -223,7 +261,7 @@ def choose_terms(texts: list[tuple[int, list[str]]], odds: dict[str, tuple[float
         for t in own:
             of.setdefault(t, []).append(i)
     covered, chosen, left = [0] * len(texts), {}, dict(of)
-    while left and len(chosen) < MOST_TERMS:
+    while left:
         gain = {t: sum(covered[i] < 2 for i in own) for t, own in left.items()}
         left = {t: left[t] for t, g in gain.items() if g >= LEAST_TEXTS}
         if not left:
@@ -273,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counted = counted.withColumn("odds", log_odds)
     strong = (F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS) & (F.col("toxic") > 4 * F.col("other"))
     listed = F.col("term").isin(INSULTS) & (F.col("toxic") + F.col("other") >= 5)
-    found = {r["term"]: (r["odds"], r["toxic"]) for r in counted.filter(strong | listed).orderBy(F.desc("toxic"), "term").limit(50 * MOST_TERMS).collect()}
+    found = {r["term"]: (r["odds"], r["toxic"]) for r in counted.filter(strong | listed).collect()}  # bounded by the sample, in which each of them stands several times
     fixed = {t: o for t, (o, _) in found.items() if t in set(INSULTS)}
     able = {t for t, (o, n) in found.items() if o >= LEAST_ODDS and n >= LEAST_TEXTS}
 

@@ -147,6 +147,28 @@ def test_grammar():
     assert score("not today. you idiot")[0] > 0  # the clause bound ends the negation
 
 
+def test_each_transducer():
+    """Alone, and composed: gains add up, weights multiply, and a damped part damps the whole."""
+    run = lambda symbols, *parts: [row for row in walk(toxicity.Transducer.compose(*parts), symbols)]
+
+    def walk(table, symbols):
+        state = 0
+        for s in symbols:
+            state, gain, damped = table[state][s]
+            yield round(gain, 6), damped
+
+    assert run("9CO9", toxicity.insults()) == [(1.0, False), (0.0, False), (0.0, False), (1.3, False)]
+    assert run("TOY", toxicity.threats()) == [(0.1, False), (0.0, False), (0.2, False)]
+    assert run("WT", toxicity.threats())[-1] == (0.3, False) and run("TOOOY", toxicity.threats())[-1] == (0.0, False)
+    assert run("YO9", toxicity.insults(), toxicity.targeted())[-1] == (1.5, False)
+    assert run("YWT", toxicity.threats(), toxicity.targeted())[-1] == (1.2, False)
+    assert run("NO9", toxicity.insults(), toxicity.negation())[-1] == (0.3, True)
+    assert run("NTY", toxicity.threats(), toxicity.negation())[1:] == [(0.03, True), (0.06, True)]
+    assert run("ROO9", toxicity.insults(), toxicity.reported())[-1] == (0.5, True)
+    assert run("Q9Q9", toxicity.insults(), toxicity.reported()) == [(0.0, False), (0.5, True), (0.0, False), (1.0, False)]
+    assert toxicity.clause_score("YC9") == (pytest.approx(1.95), 0.0) and toxicity.clause_score("9" * 50)[0] == pytest.approx(50.0)
+
+
 def toxic_rows():
     rng = random.Random(6)
     rows, labels = [], []
