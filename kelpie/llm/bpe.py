@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the piece cache of a worker and of the symbols merged at once.
-CACHE_PIECES, MERGE_SYMBOLS = 250_000, 1 << 22
+CACHE_PIECES, MERGE_SYMBOLS = 250_000, 1 << 20
 #: A list of fewer positions is applied one by one, a longer one at a stroke.
 FEW = 24
 
