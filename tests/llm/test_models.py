@@ -71,6 +71,25 @@ def test_heavy_groups_are_balanced_in_two_levels(spark, monkeypatch):
     assert len(sums) == 4 and max(sums) - min(sums) <= 0.002 * max(sums)
 
 
+def brute_weights(cells, uniform):
+    """Plain expectation-maximisation over single tokens, by bucket."""
+    out, last = {}, (0.0, 0.9, 0.1)
+    for b in range(65):
+        own = [p for bucket, *p in cells if bucket == b]
+        if own:
+            w = [1 / 3] * 3
+            for _ in range(200):
+                shares = [0.0] * 3
+                for p in own:
+                    mixed = [x * y for x, y in zip(w, (*p, uniform), strict=True)]
+                    shares = [s + x / sum(mixed) for s, x in zip(shares, mixed, strict=True)]
+                w = [x / len(own) for x in shares]
+            w = [w[0], w[1], max(w[2], 1e-6)]
+            last = tuple(x / sum(w) for x in w)
+        out[b] = last
+    return out
+
+
 def brute_model(rows):
     tokens = [(r[0], [w for w in (r[1] or "").encode().lower().split()] + [b""]) for r in rows]
     fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5
@@ -90,8 +109,8 @@ def brute_model(rows):
     for d, w in tokens:
         if fold(d) == 0:
             for v, x in zip([b"", *w], w, strict=False):
-                cells.append((kept[v].bit_length(), 1.0, kept2[v, x] / kept[v] if kept[v] else 0.0, kept[x] / m if m else 0.0))
-    weights = interpolation.maximise(cells, 1 / (len(kept) + 1))
+                cells.append((kept[v].bit_length(), kept2[v, x] / kept[v] if kept[v] else 0.0, kept[x] / m if m else 0.0))
+    weights = brute_weights(cells, 1 / (len(kept) + 1))
     out = []
     for d, w in tokens:
         base = sum(math.log10((one[x] + 0.5) / (n + 0.5 * (len(one) + 1))) for x in w)
@@ -103,8 +122,11 @@ def brute_model(rows):
     return sorted(out)
 
 
-def test_interpolation(docs, empty):
-    got = sorted((r[0] if r[0] is not None else -99, *r[1:]) for r in interpolation.score(docs).collect())
+@pytest.mark.parametrize("bits,most", [(8, 8 << 20), (1, 2000)])
+def test_interpolation(docs, empty, monkeypatch, bits, most):
+    """Against plain counts and plain expectation-maximisation; also with sums over many levels of small groups."""
+    monkeypatch.setattr(interpolation, "CHUNK_BYTES", most)
+    got = sorted((r[0] if r[0] is not None else -99, *r[1:]) for r in interpolation.score(docs, bits=bits).collect())
     want = brute_model(edge_rows())
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for g, w in zip(got, want, strict=True):
@@ -112,6 +134,15 @@ def test_interpolation(docs, empty):
     assert interpolation.score(empty).count() == 0
 
 
+def test_trigrams(spark):
+    """A word that the two before it fix: trigrams know it, bigrams do not."""
+    rng = random.Random(9)
+    rows = [row(i, " ".join(f"{a} {b} {a}{b}" for a, b in ((rng.choice("xyz"), rng.choice("uvw")) for _ in range(30)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    two, three = (sum(r.score for r in interpolation.score(docs, order=k).collect() if r.held_out) for k in (2, 3))
+    assert three > 0.8 * two
+
+
 def test_interpolation_without_training(docs):
     held = docs.filter("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) = 1")
     rows = interpolation.score(held).collect()
