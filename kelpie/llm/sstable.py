@@ -20,7 +20,7 @@ for null, else 0x01 and the identifier's 8 bytes, big-endian with the sign bit
 flipped, so that byte order is the order of identifiers with null first.
 
 Edge cases: a null or empty text holds only the end id; repeated identifiers are
-kept, ordered by their ids' bytes; an empty table makes no files; a long text is
+kept, ordered by a hash of their text, and may run on into the next file; an empty table makes no files; a long text is
 one long entry; other columns are not read.
 """
 
@@ -46,13 +46,13 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.bpe import slices
 from kelpie.llm.common import partitions, scratch_path
-from kelpie.llm.ranges import range_bounds
+from kelpie.llm.ranges import place_in, ranges_of
 
 MAGIC = b"KELPSST1"
 FOOTER = struct.Struct("<6Q8s")
 BLOCK_BYTES, RESTART_EVERY, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
-#: Bound of a worker's cache of encoded parts; ASCII punctuation.
-CACHE_CHUNKS = 600_000
+#: Bound of a worker's cache of encoded runs and parts; ASCII punctuation.
+CACHE_CHUNKS = 1_000_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -284,40 +284,46 @@ class ChunkEncoder:
     def special(self, text: bytes) -> bool:
         return self.lead in text and self.any_special.search(text) is not None
 
-    def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
-        special = self.special
-        split = [t.lower().split() if t and not special(t) else (t or b"").split() for t in texts]
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        ids: dict[bytes, bytes] = {}
-        if any(special(t) for t in texts if t):
-            for c in [c for c in seen if special(c)]:
-                seen.discard(c)
-                ids[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _learn(self, runs: set[bytes]) -> None:
+        """Puts the ids of some runs without special tokens into the cache."""
         ends: list[tuple[bytes, bytes, bytes]] = []
-        whole: list[bytes] = []
-        for c in seen:
+        parts: set[bytes] = set()
+        for c in runs:
+            if c[-1] not in PUNCTUATION:
+                parts.add(c)
+                continue
             core = c.rstrip(PUNCTUATION)
-            if len(core) == len(c) or not core or not (97 <= core[-1] <= 122 or core.decode()[-1].lower()[-1].isalpha()):
-                whole.append(c)
+            if not core or not (97 <= core[-1] <= 122 or core.decode()[-1].lower()[-1].isalpha()):
+                parts.add(c)
             else:
                 ends.append((c, core, c[len(core) :]))
-        parts = set(whole)
         for _, core, tail in ends:
             parts.add(core)
             parts.add(tail)
         cache = self.cache
-        new = [p for p in parts if p not in cache]
+        cache.update(self._encode([p for p in parts if p not in cache]))
+        for c, core, tail in ends:
+            cache[c] = cache[core] + cache[tail]
+
+    def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
+        special, cache = self.special, self.cache
+        split = [t.lower().split() if t and not special(t) else (t or b"").split() for t in texts]
+        seen: set[bytes] = set()
+        for words in split:
+            seen.update(words)
+        alone: dict[bytes, bytes] = {}
+        if any(special(t) for t in texts if t):
+            for c in [c for c in seen if special(c)]:
+                seen.discard(c)
+                alone[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        new = seen.difference(cache)
         if len(cache) + len(new) > CACHE_CHUNKS and cache:
             cache.clear()
-            new = list(parts)
-        cache.update(self._encode(new))
-        for c in whole:
-            ids[c] = cache[c]
-        for c, core, tail in ends:
-            ids[c] = cache[core] + cache[tail]
-        get = ids.__getitem__
+            new = seen
+        self._learn(new)
+        if alone:
+            cache = cache | alone
+        get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -333,24 +339,24 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, divider: str = "<|endoftext|>", width: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> list[dict]:
     """Encodes every whole text, appends end_id and writes the tables under `folder`; returns a line for each file, ascending.
 
-    width is the bytes of an id: 2 for vocabularies of up to 65,536. The shuffle
-    carries ids only. A file's name is new with every attempt, and only files of
+    width is the bytes of an id: 2 for vocabularies of up to 65,536; files is the
+    least number of files. The shuffle carries ids only. A file's name is new with every attempt, and only files of
     attempts that ended well are in the list, so that a lost executor or a
     second attempt leaves nothing that is read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    files = files or partitions(spark)
-    bounds = np.array(range_bounds(docs, "doc_id", files), dtype=np.int64)
+    ids = F.col(id_col).cast("long")
+    docs = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(-(1 << 63))).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).cast("binary").alias("text"))
+    bounds = ranges_of(docs, files or partitions(spark))
     end = end_id.to_bytes(width, "little")
 
     def encode(batches):
         encoder = _encoder(vocabulary, divider, width)
         for batch in batches:
-            for part in slices(batch):
-                ids = [x + end for x in encoder.encode_batch(part.column(1).to_pylist())]
-                places = np.searchsorted(bounds, np.array([b if b is not None else -(1 << 63) for b in part.column(0).to_pylist()], dtype=np.int64), side="right")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(places.astype(np.int32))], ["doc_id", "ids", "place"])
+            for part in slices(batch, column=3):
+                ids = [x + end for x in encoder.encode_batch(part.column(3).to_pylist())]
+                places = place_in(bounds, part.column(1).to_numpy(), part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary()), pa.array(places)], ["doc_id", "tie", "ids", "place"])
 
     def write(batches):
         system, base = file_system(folder)
@@ -378,8 +384,8 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
 
     system, base = file_system(folder)
     system.create_dir(base, recursive=True)
-    encoded = docs.mapInArrow(encode, "doc_id long, ids binary, place int")
-    ordered = encoded.repartition(files, "place").sortWithinPartitions("place", F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = docs.mapInArrow(encode, "doc_id long, tie long, ids binary, place int")
+    ordered = encoded.repartition(max(partitions(spark), len(bounds)), "place").sortWithinPartitions("place", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "ids", "place")
     lines = ordered.mapInArrow(write, "place int, file string, n_rows long, tokens long").collect()  # one line for each file
     out, start = [], 0
     for r in sorted(lines, key=lambda r: r["place"]):

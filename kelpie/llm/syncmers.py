@@ -5,11 +5,15 @@ first or the last of them. Whether it is chosen depends on its own k code points
 alone, so the anchors of an unchanged passage stay the same wherever it stands
 and whatever surrounds it, and at least one in k - s + 1 neighbours is chosen.
 
-The fingerprint is the bottom sketch of the hashes of the distinct anchors: the
-SKETCH smallest, 8 hexadecimal digits each, ascending. The likeness of two
-fingerprints is the share of their union's smallest SKETCH hashes that both
-have, the estimate of the Jaccard index of the anchor sets (exact for texts with
-no more anchors than SKETCH).
+The fingerprint lists all anchors in the order of the text: of each the distance
+from the one before (at most 16, as k - s + 1 is; one hexadecimal digit, less
+one) and 24 bits of its hash (six digits). So it holds every anchor's position.
+
+Two fingerprints are matched by position: the i-th occurrence of a hash in one
+belongs to its i-th in the other, and of these matches the longest chain that
+ascends in both texts counts. The likeness is the chain's share of the anchors
+that either text has (chain / (a + b - chain)): passages that stand in another
+order are not all in the chain, passages that moved together are.
 
 Edge cases: a null text is the empty one, whose fingerprint is the empty string
 (likeness 1 to itself, 0 to all others); any other text without a
@@ -20,6 +24,7 @@ null doc_id comes first; the only row is its own next; other columns are not rea
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -30,9 +35,9 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.bpe import slices
 from kelpie.llm.common import partitions
-from kelpie.llm.ranges import range_bounds
+from kelpie.llm.ranges import place_of, ranges_of
 
-K, S, SKETCH = 16, 5, 128
+K, S = 20, 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -74,8 +79,25 @@ def anchors(code: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return at, _mix(hashes)
 
 
-def sketches(texts: list[str], k: int = K, s: int = S, size: int = SKETCH) -> list[np.ndarray]:
-    """The sketch of each text: ascending unsigned 32-bit hashes."""
+_DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+
+
+class Anchors:
+    """The anchors of one text: their positions and 24-bit hashes, in the order of the text."""
+
+    __slots__ = ("at", "hashes")
+
+    def __init__(self, at: np.ndarray, hashes: np.ndarray):
+        self.at, self.hashes = at, hashes
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
+def all_anchors(texts: list[str], k: int = K, s: int = S) -> list[Anchors]:
+    """The anchors of each text."""
+    if k - s + 1 > 16:
+        raise ValueError("a distance of anchors must fit into a hexadecimal digit")
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
     ends = np.cumsum(lengths)
@@ -83,41 +105,74 @@ def sketches(texts: list[str], k: int = K, s: int = S, size: int = SKETCH) -> li
     at, hashes = anchors(code, k, s)
     doc = np.searchsorted(ends, at, side="right")
     inside = at + k <= ends[doc] if len(at) else np.empty(0, dtype=bool)
-    doc, low = doc[inside], hashes[inside] >> np.uint64(32)
-    bare = lengths > 0
-    bare[doc] = False
-    doc = doc.astype(np.uint64)
-    short = np.flatnonzero(bare)
-    if len(short):
-        doc = np.concatenate((doc, short.astype(np.uint64)))
-        low = np.concatenate((low, np.array([xxhash.xxh32_intdigest(raw[i]) for i in short], dtype=np.uint64)))
-    both = np.unique(doc << np.uint64(32) | low)
-    cut = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
-    low = both.astype(np.uint32)
-    return [low[i : min(j, i + size)] for i, j in zip(cut, cut[1:], strict=False)]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    doc, at, hashes = doc[inside], at[inside] - (ends - lengths)[doc[inside]], (hashes[inside] >> np.uint64(40)).astype(np.uint32)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    found = [Anchors(at[i:j], hashes[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+    for i, f in enumerate(found):
+        if not len(f) and lengths[i]:
+            found[i] = Anchors(np.zeros(1, dtype=np.int64), np.array([xxhash.xxh32_intdigest(raw[i]) >> 8], dtype=np.uint32))
+    return found
+
+
+def _occurrences(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with the number of their occurrence, ascending, and where each stands."""
+    order = np.argsort(hashes, kind="stable")
+    sorted_hashes = hashes[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(sorted_hashes)) + 1))
+    number = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return sorted_hashes.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64), order
+
+
+def ascending(places: np.ndarray) -> int:
+    """The length of the longest ascending chain."""
+    if len(places) < 2 or (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for x in places.tolist():
+        if not ends or x > ends[-1]:
+            ends.append(x)
+        else:
+            ends[bisect.bisect_left(ends, x)] = x
+    return len(ends)
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.sort(np.concatenate((a, b)))
-    twice = both[1:] == both[:-1]
-    first = np.concatenate(([True], ~twice))
-    shared = np.append(twice, False)[first][:size]
-    return float(shared.sum() / len(shared))
-
-
-def show(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
-
-
-def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if len(a) == len(b) and (a.hashes == b.hashes).all():
+        return 1.0
+    (x, at_a), (y, at_b) = _occurrences(a.hashes), _occurrences(b.hashes)
+    place = np.searchsorted(y, x)
+    place[place == len(y)] = 0
+    same = y[place] == x
+    order = np.argsort(at_a[same])
+    chain = ascending(at_b[place[same]][order])
+    return chain / (len(a) + len(b) - chain)
+
+
+def show(found: Anchors) -> str:
+    if not len(found):
+        return ""
+    digits = np.empty((len(found), 7), dtype=np.uint8)
+    digits[:, 0] = np.diff(found.at, prepend=-1) - 1
+    for j in range(6):
+        digits[:, 1 + j] = found.hashes >> np.uint32(20 - 4 * j) & np.uint32(15)
+    return _DIGITS[digits].tobytes().decode()
+
+
+def read(fingerprint: str) -> Anchors:
+    """The anchors that a fingerprint shows."""
+    digits = np.frombuffer(bytes.fromhex("0" + "0".join(fingerprint)), dtype=np.uint8).reshape(-1, 7).astype(np.int64) if fingerprint else np.empty((0, 7), dtype=np.int64)
+    return Anchors(np.cumsum(digits[:, 0] + 1) - 1, (digits[:, 1:] << np.arange(20, -4, -4)).sum(axis=1).astype(np.uint32))
+
+
+def fingerprints(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every whole text, in one pass."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, most=2 << 20):
-                found = sketches([t or "" for t in part.column(1).to_pylist()], k, s, size)
+                found = all_anchors([t or "" for t in part.column(1).to_pylist()], k, s)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([show(x) for x in found], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -132,35 +187,28 @@ def edit(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints every text, its edited text and compares them, also with the next document's; the contract's digest.
 
-    Documents are dealt to ranges of doc_id by one shuffle. The first document
-    of each range (one for each, so their number is bounded) is copied to the
-    end of the range before, which then needs no other range.
+    Documents are dealt to ranges of doc_id by one shuffle, in which the first
+    document of each range is also copied to the end of the range before, which
+    then needs no other. A doc_id with far more rows than a range should have is
+    dealt on by the hash of the text.
     """
     spark = docs.sparkSession
-    ranges = 4 * partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = np.array(range_bounds(docs, "doc_id", ranges), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def place_of(ids):
-        values = ids.fillna(-(1 << 63)).astype("int64").to_numpy()
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, values, side="right").astype(np.int32))
-
-    # doc_id may be null, and a null has no place in a float column, hence the flag.
-    keyed = docs.select(F.xxhash64("text").alias("tie"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", "text").withColumn("place", place_of("key"))
-    firsts = sorted((r["place"], r["low"]["key"], r["low"]["tie"]) for r in keyed.groupBy("place").agg(F.min(F.struct("key", "tie")).alias("low")).collect())  # one for each range
-    if not firsts:
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"))
+    bounds = ranges_of(keyed, 4 * partitions(spark))
+    if not len(bounds):
         return spark.createDataFrame([], SCHEMA)
-    before = [firsts[i - 1][0] for i in range(len(firsts))]  # of the first range: the last
-    copies = spark.createDataFrame([(key, tie, p) for (_, key, tie), p in zip(firsts, before, strict=True)], "key long, tie long, before int")
-    edges = keyed.drop("place").join(F.broadcast(copies), ["key", "tie"]).select("doc_id", "text", F.col("before").alias("place"), F.lit(1).alias("edge"), "key", "tie")
-    rows = keyed.select("doc_id", "text", "place", F.lit(0).alias("edge"), "key", "tie").unionByName(edges)
-    ordered = rows.repartition(partitions(spark), "place").sortWithinPartitions("place", "edge", "key", "tie").select("doc_id", "text", "edge")
+    # A range begins with a row, or with all rows of a key, of which the first counts. The range before the first one is the last.
+    none = -(1 << 63)
+    copies = [(int(key), None if tie == none else int(tie), (p - 1) % len(bounds)) for p, (key, tie) in enumerate(bounds)]
+    copied = F.broadcast(spark.createDataFrame(copies, "k long, t long, before int"))  # a line for each range
+    both = keyed.withColumn("place", place_of(bounds)("key", "tie")).join(copied, (F.col("key") == F.col("k")) & (F.col("t").isNull() | (F.col("tie") == F.col("t"))), "left")
+    own, copy = F.struct("place", F.lit(0).alias("edge")), F.struct(F.col("before").alias("place"), F.lit(1).alias("edge"))
+    rows = both.select("doc_id", "text", "key", "tie", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to")).select("doc_id", "text", "key", "tie", "to.place", "to.edge")
+    ordered = rows.repartition(max(partitions(spark), len(bounds) // 4), "place").sortWithinPartitions("place", "edge", "key", "tie").select("doc_id", "text", "edge")
 
     def run(batches):
         held: list[tuple] = []
@@ -170,7 +218,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SKE
             texts = [t for _, t, _ in rows]
             own = [i for i in range(len(rows) - 1) if not rows[i][2]]
             changed = [edit(texts[i], texts[i + 1]) for i in own]
-            found = sketches(texts + changed, k, s, size)
+            found = all_anchors(texts + changed, k, s)
             plain, edited = found[: len(texts)], found[len(texts) :]
             columns = [
                 pa.array([rows[i][0] for i in own], pa.int64()),
@@ -178,8 +226,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SKE
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
                 pa.array([show(plain[i]) for i in own], pa.string()),
                 pa.array([show(x) for x in edited], pa.string()),
-                pa.array([likeness(plain[i], x, size) for i, x in zip(own, edited, strict=True)], pa.float64()),
-                pa.array([likeness(plain[i], plain[i + 1], size) for i in own], pa.float64()),
+                pa.array([likeness(plain[i], x) for i, x in zip(own, edited, strict=True)], pa.float64()),
+                pa.array([likeness(plain[i], plain[i + 1]) for i in own], pa.float64()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 

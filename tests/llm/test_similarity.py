@@ -33,19 +33,55 @@ def test_syncmers(k, s):
     assert set(hashes.tolist()) <= set(again.tolist())
 
 
+def brute_likeness(a, b):
+    """The longest common chain of hashes, by the i-th occurrences, in quadratic time."""
+    def numbered(text):
+        found, seen = syncmers.all_anchors([text])[0], {}
+        out = []
+        for h in found.hashes.tolist():
+            seen[h] = seen.get(h, 0) + 1
+            out.append((h, seen[h]))
+        return out
+
+    x, y = numbered(a), numbered(b)
+    if not x or not y:
+        return float(len(x) == len(y))
+    row = [0] * (len(y) + 1)
+    for p in x:
+        above, row = row, [0]
+        for j, q in enumerate(y):
+            row.append(above[j] + 1 if p == q else max(above[j + 1], row[j]))
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
 def test_likeness():
-    a, b = np.arange(10, dtype=np.uint32), np.arange(5, 15, dtype=np.uint32)
-    assert syncmers.likeness(a, b, 100) == pytest.approx(5 / 15)
-    assert syncmers.likeness(a[:0], a[:0]) == 1.0 and syncmers.likeness(a, a[:0]) == 0.0
-    assert syncmers.likeness(a, b, 4) == 0.0  # the four smallest of the union are all a's own
+    rng = random.Random(3)
+    parts = [" ".join(rng.choice(["river", "moon", "quiet", "wizard", "brew"]) + str(rng.randrange(50)) for _ in range(20)) for _ in range(6)]
+    text, turned = " ".join(parts), " ".join(reversed(parts))
+    texts = [text, turned, " ".join(parts[2:]), "before " + text, text + " after", " ".join([*parts[3:], *parts[:3]]), parts[0] * 4, "", "short"]
+    found = syncmers.all_anchors(texts)
+    for (t, x), (u, y) in itertools.product(zip(texts, found, strict=True), repeat=2):
+        assert syncmers.likeness(x, y) == pytest.approx(brute_likeness(t, u))
+    # The same passages in another order share their anchors, but are less alike; moved together they are all alike but for the edges.
+    assert len(set(found[0].hashes) & set(found[1].hashes)) > 0.9 * len(found[0])
+    assert syncmers.likeness(found[0], found[1]) < 0.3 < 0.5 <= syncmers.likeness(found[0], found[5]) + 0.2 and syncmers.likeness(found[0], found[3]) > 0.95
+
+
+def test_fingerprint_shows_every_anchor():
+    texts = ["", "short", sentence(3, 2000), "ünï\U0001f600" * 40, "a" * 100]
+    for text, found in zip(texts, syncmers.all_anchors(texts), strict=True):
+        again = syncmers.read(syncmers.show(found))
+        assert again.at.tolist() == found.at.tolist() and again.hashes.tolist() == found.hashes.tolist()
+        if len(text) >= 40:
+            assert found.at.tolist() == brute_anchors(text, syncmers.K, syncmers.S)
 
 
 def test_short_texts_have_anchors():
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in range(1, 40) for _ in range(20)]
-    found = syncmers.sketches(["", *texts])
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in range(1, 50) for _ in range(20)]
+    found = syncmers.all_anchors(["", *texts])
     assert not len(found[0]) and all(map(len, found[1:]))
-    for n in range(16, 27):
+    for n in range(16, 36):
         same = [s for t, s in zip(texts, found[1:], strict=True) if len(t) == n]
         assert all(syncmers.likeness(a, b) < 1 for a, b in itertools.combinations(same, 2))
 
@@ -62,16 +98,32 @@ def test_edited_fingerprints(docs, empty, spark):
         if (k, text) not in unique or after not in unique:
             continue
         edited, r = syncmers.edit(text, after[1]), by_id[k]
-        s = syncmers.sketches([text, edited, after[1]])
+        s = syncmers.all_anchors([text, edited, after[1]])
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == plain[k] == syncmers.show(s[0]) and r.edited_fingerprint == syncmers.show(s[1])
-        assert r.near_edited == syncmers.likeness(s[0], s[1]) and r.near_next == syncmers.likeness(s[0], s[2])
+        if len(text) < 5000:
+            assert r.near_edited == pytest.approx(brute_likeness(text, edited)) and r.near_next == pytest.approx(brute_likeness(text, after[1]))
     assert by_id[106].fingerprint == by_id[107].fingerprint and by_id[106].near_next == 1.0
     assert syncmers.edited_fingerprints(empty).count() == 0
     one = syncmers.edited_fingerprints(docs.filter("doc_id = 5")).collect()
     assert one[0].near_next == 1.0
 
 
+def test_one_id_for_all_rows(spark, monkeypatch):
+    """A doc_id with all rows is dealt to several ranges by the text's hash, and each row is compared with the next one."""
+    from kelpie.llm import ranges
+
+    monkeypatch.setattr(ranges, "ROWS_EACH", 10)
+    docs = spark.createDataFrame([(7, sentence(i, 30 + i)) for i in range(200)] + [(None, sentence(i, 31 + i)) for i in range(90)], "doc_id long, text string")
+    keys = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"))
+    bounds = ranges.ranges_of(keys, 4)
+    held = keys.groupBy(ranges.place_of(bounds)("key", "tie").alias("p")).count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) < 60
+    order = [r.text for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    want = sorted(hashlib.sha256(syncmers.edit(t, order[(i + 1) % len(order)]).encode()).hexdigest() for i, t in enumerate(order))
+    assert sorted(r.edited_sha256 for r in syncmers.edited_fingerprints(docs).collect()) == want
+
+
 def brute_simhash(text, words=3):
     tokens = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
     if not tokens:
