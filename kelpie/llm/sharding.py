@@ -5,12 +5,14 @@ partition with its size in one of `shards` sets. Again and again the two partial
 partitions of largest spread are combined, the largest sets of one with the
 smallest of the other, until one is left.
 
-Beyond GROUPS_EACH groups the differencing runs in two levels, so that no task
-and no driver holds all groups: the groups are dealt by hash to parts and, in
-these, to cells; each cell is differenced to `shards` bundles. Groups of more
-than 1 / SINGLE of a shard's share are bundles of their own. Then all bundles are
-differenced on the driver one by one, so that small ones make up for large ones.
-The number of parts follows the number of groups; there are CELLS cells at least.
+Beyond GROUPS_EACH groups the differencing runs in levels, so that no task holds
+all groups: the groups are dealt by hash to cells, and each cell is differenced to
+`shards` bundles. While there are more than CELLS cells, up to GROUPS_EACH /
+`shards` of them at once are differenced on to one, level by level. In the end
+the CELLS * `shards` bundles are differenced one by one in one task, so that small
+ones make up for large ones; with them the groups of more than 1 / SINGLE of a
+shard's share, at most SINGLE for each shard, that no cell has taken. Nothing
+goes through the driver but counts.
 
 Edge cases: a null text counts as no bytes and shares the group of empty texts;
 repeated rows are kept in their group; an empty table gives no rows; a null
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kelpie.llm.common import materialize, partitions
+from kelpie.llm.common import broadcast_small, discard, materialize, partitions
 from kelpie.llm.skew import lookup_join
 
-#: Groups in a part and rows in a cell of slots, roughly; bytes of overhead of a row.
+#: Groups in a task and rows in a cell of slots, roughly; bytes of overhead of a row.
 GROUPS_EACH, ROWS_EACH, ROW_BYTES = 50_000, 20_000, 16
-#: Cells of two levels at least; groups above 1 / SINGLE of a shard's share, at most SINGLE for each shard, stand alone.
+#: Cells of the last level; groups above 1 / SINGLE of a shard's share, at most SINGLE for each shard, stand alone.
 CELLS, SINGLE = 1000, 25
 
 
@@ -83,42 +85,83 @@ def difference(partials: list[list[tuple[int, int]]], ways: int) -> list[list[in
     return out + [[] for _ in range(ways - len(out))]
 
 
-def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
+def _differenced(frame: DataFrame, key: str, run, column: str) -> DataFrame:
+    """frame with a new int column that `run` finds for all rows of a key together."""
+    schema = T.StructType([*frame.schema.fields, T.StructField(column, T.IntegerType())])
+    return frame.groupBy(key).applyInArrow(lambda table: run(table, column), schema)
+
+
+def _bundles(placed: DataFrame, bytes_in, *by) -> DataFrame:
+    return placed.groupBy(*by).agg(F.sum(bytes_in).alias("bytes"))
+
+
+def assign_groups(groups: DataFrame, shards: int, most: int = GROUPS_EACH, last_cells: int = CELLS) -> DataFrame:
     """Adds `shard` to a frame of groups with the columns h, crc, size and n (rows); balances n * size."""
-    spark = groups.sparkSession
-    number = groups.count()
-    parts = max(1, math.ceil(number / GROUPS_EACH))
-    cells = math.ceil(CELLS / parts) if parts > 1 else 1
-    bound = (groups.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0) / shards / SINGLE if parts > 1 else math.inf
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("h", "crc", "size"), F.lit(parts)).cast("int"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("crc", "ascending"), ("size", "ascending")])
-        weights = table.column("n").to_numpy() * table.column("size").to_numpy()
-        local = np.empty(len(weights), dtype=np.int32)
-        single = np.flatnonzero(weights > bound)
-        local[single] = cells * shards + np.arange(len(single))
-        cell = table.column("h").to_numpy().view(np.uint64) % np.uint64(cells)
-        cell[single] = cells
-        order = np.argsort(cell, kind="stable")
-        for c, some in enumerate(np.split(order, np.searchsorted(cell[order], np.arange(1, cells + 1, dtype=np.uint64)))[:cells]):
-            for i, members in enumerate(difference([[(w, j)] for w, j in zip(weights[some].tolist(), some.tolist(), strict=True)], shards)):
-                local[members] = c * shards + i
-        return table.append_column("local", pa.array(local))
-
-    schema = T.StructType([*dealt.schema.fields, T.StructField("local", T.IntegerType())])
-    placed = materialize(dealt.repartition(max(partitions(spark), parts), "part").groupBy("part").applyInArrow(run, schema), "shards-local")
-    sums = placed.groupBy("part", "local").agg(F.sum(F.col("n") * F.col("size")).alias("bytes")).orderBy("part", "local").collect()  # `shards` lines for each cell, and the single groups
-    bundles = [[(r["bytes"], i)] for i, r in enumerate(sums)] if parts > 1 else [[(r["bytes"], i) for i, r in enumerate(sums)]]
-    rows = [(sums[i]["part"], sums[i]["local"], shard) for shard, members in enumerate(difference(bundles, shards)) for i in members]
-    final = spark.createDataFrame(rows, "part int, local int, shard int")
-    return placed.join(final, ["part", "local"]).drop("part", "local")
-
-
-def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    weight = F.col("n") * F.col("size")
+    number, total = groups.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    parts = max(1, math.ceil(number / most))
+    if parts == 1:
+
+        def plain(table: pa.Table, column: str) -> pa.Table:
+            table = table.sort_by([("h", "ascending"), ("crc", "ascending"), ("size", "ascending")])
+            weights = (table.column("n").to_numpy() * table.column("size").to_numpy()).tolist()
+            found = np.empty(len(weights), dtype=np.int32)
+            for shard, members in enumerate(difference([[(w, j)] for j, w in enumerate(weights)], shards)):
+                found[members] = shard
+            return table.append_column(column, pa.array(found))
+
+        return _differenced(groups.withColumn("all", F.lit(0)), "all", plain, "shard").drop("all")  # at most `most` groups
+
+    bound, cells = total / shards / SINGLE, max(last_cells, parts)
+    alone = weight > bound
+    dealt = groups.withColumn("cell", F.when(alone, -1 - F.pmod(F.col("h"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("h", "crc", "size"), F.lit(cells)))).withColumn("part", F.pmod("cell", F.lit(parts)))
+
+    def cell_by_cell(table: pa.Table, column: str) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("h", "ascending"), ("crc", "ascending"), ("size", "ascending")])
+        weights = (table.column("n").to_numpy() * table.column("size").to_numpy()).tolist()
+        cell = table.column("cell").to_numpy()
+        found = np.arange(len(weights), dtype=np.int32)  # for those that stand alone
+        for some in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
+            if cell[some[0]] >= 0:
+                for i, members in enumerate(difference([[(weights[j], j)] for j in some.tolist()], shards)):
+                    found[members] = i
+        return table.append_column(column, pa.array(found))
+
+    def partials(table: pa.Table, column: str) -> pa.Table:
+        """Rows (cell, local, bytes): every cell is one partial partition."""
+        table = table.sort_by([("cell", "ascending"), ("local", "ascending")])
+        cell, size = table.column("cell").to_numpy(), table.column("bytes").to_pylist()
+        some = np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1)
+        found = np.empty(len(cell), dtype=np.int32)
+        for i, members in enumerate(difference([[(size[j], j) for j in one.tolist()] for one in some], shards)):
+            found[members] = i
+        return table.append_column(column, pa.array(found))
+
+    def one_by_one(table: pa.Table, column: str) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("local", "ascending")])
+        found = np.empty(table.num_rows, dtype=np.int32)
+        for shard, members in enumerate(difference([[(w, j)] for j, w in enumerate(table.column("bytes").to_pylist())], shards)):
+            found[members] = shard
+        return table.append_column(column, pa.array(found))
+
+    placed = materialize(_differenced(dealt, "part", cell_by_cell, "local"), "shards-cells")
+    bundles, levels = materialize(_bundles(placed, weight, "cell", "local"), "shards-bundles"), []
+    while cells > last_cells:
+        cells = max(last_cells, math.ceil(cells * shards / most))
+        up = materialize(_differenced(bundles.filter("cell >= 0").withColumn("up", F.pmod("cell", F.lit(cells))), "up", partials, "up_local"), "shards-level")
+        levels.append(up)
+        bundles = materialize(_bundles(up.select(F.col("up").alias("cell"), F.col("up_local").alias("local"), "bytes"), F.col("bytes"), "cell", "local").unionByName(bundles.filter("cell < 0").select("cell", "local", "bytes")), "shards-bundles")
+    final = materialize(_differenced(bundles.withColumn("all", F.lit(0)), "all", one_by_one, "shard").select("cell", "local", "shard"), "shards-final")  # last_cells * shards bundles and SINGLE * shards groups at most
+    for up in reversed(levels):
+        below = up.join(broadcast_small(final.withColumnRenamed("cell", "up").withColumnRenamed("local", "up_local"), 48), ["up", "up_local"]).select("cell", "local", "shard")
+        final = materialize(below.unionByName(final.filter("cell < 0")), "shards-final")
+    return placed.join(broadcast_small(final, 48), ["cell", "local"]).drop("cell", "local", "part")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", most: int = GROUPS_EACH, last_cells: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; equal texts share a shard.
 
-    Texts are never shuffled: a text is known by its 64-bit hash, its crc32 and
+    Texts are read once and never shuffled: a text is known by its 64-bit hash, its crc32 and
     its length. Very frequent texts are looked up by broadcast. Slots are
     numbered in cells of a shard, dealt by a hash of doc_id, so that a shard of
     any size is numbered by many tasks.
@@ -126,9 +169,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"))
+    rows = materialize(rows, "shards-hashes")
     groups = materialize(rows.groupBy("h", "crc", "size").agg(F.count(F.lit(1)).alias("n")), "shards-groups")
-    placed = materialize(assign_groups(groups, shards), "shards-groups-placed")
+    placed = materialize(assign_groups(groups, shards, most, last_cells), "shards-groups-placed")
     total = groups.agg(F.sum("n")).first()[0] or 0
+    discard(groups)
     cells = max(1, math.ceil(total / shards / ROWS_EACH)) * 8
     dealt = materialize(lookup_join(rows, placed, ["h", "crc", "size"], "n").withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells)).cast("int")), "shards-rows")
     counts = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("rows_in"))

@@ -41,9 +41,44 @@ def test_differencing_beats_greedy():
     assert max(sums) - min(sums) < max(greedy) - min(greedy)
 
 
-def test_shards(docs, empty, monkeypatch):
-    monkeypatch.setattr(sharding, "GROUPS_EACH", 6)
-    got = sharding.shard_by_bytes(docs, 4).collect()
+def brute_difference(sizes, ways):
+    """Plain Karmarkar-Karp: whole lists of sums, always the two of largest spread, the first made first."""
+    heap = [(-x, k, [0] * (ways - 1) + [x]) for k, x in enumerate(sizes)]
+    made = len(heap)
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a), (_, _, b), *heap = heap
+        sums = sorted(x + y for x, y in zip(a, reversed(b), strict=True))
+        heap.append((sums[0] - sums[-1], made, sums))
+        made += 1
+    return heap[0][2]
+
+
+@pytest.mark.parametrize("ways", [2, 5, 40])
+def test_differencing_against_plain_lists(ways):
+    rng = random.Random(ways)
+    sizes = rng.sample(range(10**6, 10**9), 150)
+    found = sharding.difference([[(x, j)] for j, x in enumerate(sizes)], ways)
+    assert sorted(sum(sizes[j] for j in o) for o in found) == brute_difference(sizes, ways)
+
+
+def test_shards_against_plain_differencing(spark):
+    """The whole query on a small table: its shards are those of the plain algorithm over groups of equal texts."""
+    rng = random.Random(4)
+    texts = [f"{i} " + "x" * rng.randrange(100_000) for i in range(90)]
+    rows = [row(i, t) for i, t in enumerate(texts)] + [row(500 + i, texts[i % 7]) for i in range(20)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 8).groupBy("shard").sum("size").collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[1]] += len(r[1]) + 16
+    groups = [sizes[t] for t in texts]
+    assert len(set(groups)) == len(groups) and sorted(r[1] for r in got) == brute_difference(groups, 8)
+
+
+@pytest.mark.parametrize("most,last_cells", [(50_000, 1000), (6, 2), (20, 3)])
+def test_shards(docs, empty, most, last_cells):
+    """In one task, and in several levels."""
+    got = sharding.shard_by_bytes(docs, 4, most=most, last_cells=last_cells).collect()
     texts = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in edge_rows())
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == texts
     shards, groups = collections.defaultdict(list), collections.defaultdict(set)
@@ -62,13 +97,13 @@ def test_shards_are_near_equal(spark):
     assert len(sums) == 4 and max(sums) - min(sums) <= 0.01 * max(sums)
 
 
-def test_heavy_groups_are_balanced_in_two_levels(spark, monkeypatch):
-    """A group of a fifth of all bytes, among 4 shards and several parts."""
-    monkeypatch.setattr(sharding, "GROUPS_EACH", 500)
+@pytest.mark.parametrize("most,last_cells,apart", [(500, 1000, 0.002), (200, 10, 0.08)])
+def test_heavy_groups_are_balanced_in_levels(spark, most, last_cells, apart):
+    """A group of a fifth of all bytes, among 4 shards and several tasks, or levels down to 40 bundles, which are as coarse as a fiftieth."""
     rows = [row(i, f"text {i} " * (5 + i % 7)) for i in range(4000)] + [row(10_000 + i, "copy " * 40) for i in range(440)]
-    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 4).groupBy("shard").sum("size").collect()
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 4, most=most, last_cells=last_cells).groupBy("shard").sum("size").collect()
     sums = [r[1] for r in got]
-    assert len(sums) == 4 and max(sums) - min(sums) <= 0.002 * max(sums)
+    assert len(sums) == 4 and max(sums) - min(sums) <= apart * max(sums)
 
 
 def brute_weights(cells, uniform):
