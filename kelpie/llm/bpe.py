@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the piece cache of a worker and of the symbols merged at once.
-CACHE_PIECES, MERGE_SYMBOLS = 250_000, 1 << 20
+#: Bounds of the piece cache of a worker, of the symbols merged at once and of the texts encoded at once (a longer text stands alone).
+CACHE_PIECES, MERGE_SYMBOLS, SLICE_BYTES = 250_000, 1 << 20, 2 << 20
 #: A list of fewer positions is applied one by one, a longer one at a stroke.
 FEW = 24
 
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         bpe = load(vocabulary)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode_batch(part.column(1).to_pylist())]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 values = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
@@ -290,7 +290,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def run(batches):
         bpe = load(vocabulary)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 encoded = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
