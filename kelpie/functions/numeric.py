@@ -28,6 +28,15 @@ def bf16_up(x: Column) -> Column:
     return _to_ulp(x, lambda y: F.ceil(y).cast("double"), 7)
 
 
+def fp16(x: Column) -> Column:
+    """The nearest half-precision value (ties to even); beyond its range infinite, subnormals in steps of 2^-24."""
+    a = F.abs(x)
+    e = F.greatest(exponent(F.greatest(a, F.lit(2.0**-30))), F.lit(-14.0))
+    step = F.pow(F.lit(2.0), e - 10)
+    rounded = F.rint(a / step) * step
+    return F.signum(x) * F.when(rounded > 65504.0, F.lit(float("inf"))).otherwise(rounded)
+
+
 def amax_scale(amax: Column, divisor: float, multiplier: float = 1.0) -> Column:
     """BF16 of amax * multiplier / divisor; 1 where amax is 0."""
     return F.when(amax > 0, bf16(amax * F.lit(multiplier) / F.lit(divisor))).otherwise(F.lit(1.0))

@@ -6,12 +6,12 @@ import shutil
 import subprocess
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEUTRAL_BYTE = 128
-#: Frames of eight tokens: views a token is padded to, by the number of real views and whether two halves share a row.
 TOKENS_PER_FRAME = 8
 
 
@@ -30,32 +30,92 @@ def unpacked_codes(packed: DataFrame, keys: list[str], bits: int) -> DataFrame:
     return out.select(*keys, (F.col("byte") * lanes + F.col("_k")).alias("place"), F.floor(F.col("packed") / F.pow(F.lit(2), F.col("_k") * bits)).cast("long").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("code"))
 
 
-def bit_planes(codes: Column) -> Column:
-    """The transposed bits of an array of D bytes (D a multiple of 8): 8 planes of D / 8 packed bytes, low bits first."""
-    groups = F.sequence(F.lit(0), F.floor(F.size(codes) / 8).cast("int") - 1)
-    planes = F.sequence(F.lit(0), F.lit(7))
-    bit = lambda p, g, k: F.get(codes, g * 8 + k).cast("int").bitwiseAND(F.pow(F.lit(2), p).cast("int")) > 0
-    byte = lambda p, g: F.aggregate(planes, F.lit(0), lambda s, k: s + F.when(bit(p, g, k), F.pow(F.lit(2), k).cast("int")).otherwise(F.lit(0)))
-    return F.flatten(F.transform(planes, lambda p: F.transform(groups, lambda g: byte(p, g))))
+#: By model the views that a token is padded to, and whether the second half of the views stands beside the first.
+GEOMETRIES = {"qwen": (64, True), "glm": (16, False), "deepseek": (32, False)}
 
 
-def token_frames(codes: DataFrame, padded_views: int, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
-    """(frame, frame_row, channel, code) of all cells of frames of some tokens with padded views: absent cells hold the neutral byte.
+def frame_shape(model: str, views: int, width: int, tokens_per_frame: int = TOKENS_PER_FRAME) -> tuple[int, int, int]:
+    """Rows of a token that views fill, and height and width of a frame."""
+    if model not in GEOMETRIES or tokens_per_frame < 1:
+        raise ValueError("unknown geometry")
+    padded, folded = GEOMETRIES[model]
+    filled = views // 2 if folded else views
+    if folded and views % 2 or filled > padded:
+        raise ValueError("the views do not fit the geometry")
+    return filled, tokens_per_frame * padded, width * (2 if folded else 1)
 
-    The grid is made from the frames and channels that there are, and is as large as the frames themselves.
+
+def token_frames(rows: DataFrame, model: str, views: int, width: int, keys: list[str] | None = None, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
+    """(keys, frame, height, width, pixels): frames of some tokens with padded views, as one array by rows, from rows (keys, token, view, codes array).
+
+    Absent cells hold the neutral byte. One shuffle brings a frame's rows together; no cell is exploded.
     """
-    spark = codes.sparkSession
-    placed = codes.select(F.floor(F.col("token") / tokens_per_frame).cast("long").alias("frame"), (F.col("token") % tokens_per_frame * padded_views + F.col("view")).cast("long").alias("frame_row"), "channel", "code")
-    grid = placed.select("frame").distinct().crossJoin(F.broadcast(spark.range(tokens_per_frame * padded_views).select(F.col("id").alias("frame_row")))).crossJoin(F.broadcast(placed.select("channel").distinct()))
-    return grid.join(placed, ["frame", "frame_row", "channel"], "left").withColumn("code", F.coalesce("code", F.lit(NEUTRAL_BYTE)))
+    keys = keys or []
+    padded, folded = GEOMETRIES[model]
+    filled, height, full = frame_shape(model, views, width, tokens_per_frame)
+    line = (F.col("token") % tokens_per_frame * padded + F.col("view") % filled).cast("int")
+    entry = F.struct(line.alias("line"), F.col("codes").cast("array<int>").alias("codes"))
+    side = F.floor(F.col("view") / filled)
+    placed = rows.select(*keys, F.floor(F.col("token") / tokens_per_frame).cast("long").alias("frame"), F.when(side == 0, entry).alias("first"), F.when(side == 1, entry).alias("second"))
+    halves = ["first", "second"] if folded else ["first"]
+    held = placed.groupBy(*keys, "frame").agg(*[F.map_from_entries(F.collect_list(h)).alias(h) for h in halves])
+    none = F.array_repeat(F.lit(NEUTRAL_BYTE), width)
+    pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(*[F.coalesce(F.element_at(F.col(h), r), none) for h in halves])))
+    return held.select(*keys, "frame", F.lit(height).alias("height"), F.lit(full).alias("width"), pixels.alias("pixels"))
+
+
+def frame_rows(frames: DataFrame, model: str, views: int, width: int, tokens: str, keys: list[str] | None = None, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
+    """(keys, token, view, codes): the inverse of token_frames(), without padded views and without tokens from the column `tokens` on."""
+    keys = keys or []
+    padded, folded = GEOMETRIES[model]
+    filled, _, full = frame_shape(model, views, width, tokens_per_frame)
+    every = F.sequence(F.lit(0), F.lit(tokens_per_frame * views - 1))
+    out = frames.select(*keys, "frame", tokens, "pixels", F.explode(every).alias("_i"))
+    view = F.col("_i") % views
+    at = (F.floor(F.col("_i") / views) * padded + view % filled) * full + F.floor(view / filled) * width
+    token = F.col("frame") * tokens_per_frame + F.floor(F.col("_i") / views)
+    return out.select(*keys, token.cast("long").alias("token"), view.cast("long").alias("view"), F.slice("pixels", (at + 1).cast("int"), width).alias("codes"), tokens).filter(F.col("token") < F.col(tokens)).drop(tokens)
+
+
+def pack_array(codes, bits: int) -> bytes:
+    """Little lanes of `bits` bits; the last byte is filled with zeros."""
+    lanes = 8 // bits
+    x = np.asarray(codes, dtype=np.int64) & (1 << bits) - 1
+    x = np.append(x, np.zeros(-len(x) % lanes, dtype=np.int64)).reshape(-1, lanes)
+    return (x << np.arange(lanes) * bits).sum(axis=1).astype(np.uint8).tobytes()
+
+
+def unpack_array(packed: bytes, bits: int, count: int) -> np.ndarray:
+    lanes = 8 // bits
+    if len(packed) != -(-count // lanes):
+        raise ValueError("the packed codes have another length")
+    x = np.frombuffer(packed, dtype=np.uint8)[:, None] >> np.arange(lanes, dtype=np.uint8) * bits & (1 << bits) - 1
+    return x.reshape(-1)[:count]
 
 
-def pack_array(codes: list[int], bits: int) -> bytes:
-    lanes, mask = 8 // bits, (1 << bits) - 1
-    out = bytearray(-(-len(codes) // lanes))
-    for i, c in enumerate(codes):
-        out[i // lanes] |= (c & mask) << i % lanes * bits
-    return bytes(out)
+def e4m3_codes(x: np.ndarray) -> np.ndarray:
+    """The E4M3 bytes of an array (ties to even, clamped to +-448, zero without a sign)."""
+    a = np.minimum(np.abs(x), 448.0)
+    e = np.maximum(np.frexp(np.maximum(a, 2.0**-60))[1] - 1, -6)
+    units = np.rint(a / np.exp2(e - 3.0)).astype(np.int64)  # 8..16 for normals; 16 is the next exponent's first
+    code = np.where(units >= 8, (e + 7) * 8 + units - 8, units)
+    return np.where((x < 0) & (units > 0), code + 128, code).astype(np.uint8)
+
+
+def fp8_planes(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """(keys, place, packed): the bits of each row's E4M3 bytes transposed, 8 planes of D / 8 bytes, low bits first (D a multiple of 8); in Arrow batches, without a shuffle."""
+    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + ", planes array<int>"
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(len(keys))
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 8))
+            planes = np.packbits(np.unpackbits(e4m3_codes(x)[:, :, None], axis=2, bitorder="little").swapaxes(1, 2).reshape(len(x), -1), axis=1, bitorder="little").astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes.shape[1]), pa.array(planes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], [*keys, "planes"])
+
+    planes = rows.select(*keys, F.col(vec).cast("array<double>").alias("vec")).mapInArrow(run, schema)
+    return planes.select(*keys, F.posexplode("planes").alias("place", "packed"))
 
 
 def deflate_sizes(streams: DataFrame, keys: list[str], order: list[str], codes: str, bits: int, level: int = 6) -> DataFrame:
@@ -119,14 +179,60 @@ def video_sizes(frames: DataFrame, keys: list[str], params: str, ffmpeg: str = "
     return frames.groupBy(*keys).applyInArrow(run, schema)
 
 
+# The encoder's default cell, its limit, and the parameters of token frames in their order.
 X265_DEFAULTS = {"lossless": "1", "keyint": "32", "min-keyint": "32", "scenecut": "0", "bframes": "3", "b-adapt": "2", "rc-lookahead": "4", "log-level": "error"}
+X265_MOST_BFRAMES = 16
+TOKEN_PARAMETERS = "lossless=1 scenecut=0 bframes=3 b-adapt=2 open-gop=0 log-level=error keyint={frames} min-keyint={frames} pools=1 frame-threads=1 wpp=1 pmode=0 rskip=0 early-skip=0 fast-intra=0 signhide=0 sao=0 strong-intra-smoothing=0 weightp=0 weightb=0 aq-mode=0 cutree=0 rd=3 subme=3 psy-rd=0 psy-rdoq=0 ctu={ctu} range=full annexb=1 repeat-headers=1 hash=1 rc-lookahead=4"
+
+
+def token_parameters(frames: int, height: int) -> str:
+    """The parameters of lossless token frames: one closed group of pictures, and coding units no larger than the frame asks for."""
+    return ":".join(TOKEN_PARAMETERS.format(frames=frames, ctu=16 if height < 32 else 32 if height < 64 else 64).split())
+
+
+def b_adapt(bframes: int, wanted: int | None = None) -> int:
+    """Without B-frames 0; with them what is wanted, or where that is nothing or 0: 1 for a single B-frame, else 2."""
+    if wanted not in (None, 0, 1, 2):
+        raise ValueError("b-adapt is 0, 1 or 2")
+    if bframes <= 0:
+        return 0
+    return wanted or (1 if bframes == 1 else 2)
 
 
 def x265_params(**changes: str | int) -> str:
-    """key=value pairs joined by colons; later values win; the lookahead must exceed the number of B-frames, and no B-frames means no b-adapt."""
+    """key=value pairs joined by colons; later values win and keep the first one's place. The lookahead must exceed the number of B-frames."""
     merged = X265_DEFAULTS | {k.replace("_", "-"): str(v) for k, v in changes.items()}
-    if merged["bframes"] == "0":
-        merged["b-adapt"] = "0"
-    if int(merged["rc-lookahead"]) <= int(merged["bframes"]):
-        merged["rc-lookahead"] = str(int(merged["bframes"]) + 1)
+    bframes = int(merged["bframes"])
+    if not 0 <= bframes <= X265_MOST_BFRAMES:
+        raise ValueError(f"bframes is 0 to {X265_MOST_BFRAMES}")
+    merged["b-adapt"] = str(b_adapt(bframes, int(changes["b_adapt"]) if "b_adapt" in changes else None))
+    if bframes and int(merged["rc-lookahead"]) <= bframes:
+        merged["rc-lookahead"] = str(bframes + 1)
     return ":".join(f"{k}={v}" for k, v in merged.items())
+
+
+# The encoder's input format for a surface of so many bits, and its sample range.
+PIXEL_FORMATS = {8: "gray", 10: "gray10le", 12: "gray12le"}
+
+
+def pixel_format(levels: int) -> str:
+    """The gray format with the fewest bits that holds `levels` codes."""
+    for bits, name in PIXEL_FORMATS.items():
+        if 0 < levels <= 1 << bits:
+            return name
+    raise ValueError("no gray format holds so many levels")
+
+
+def sample_range(pixels: DataFrame, column: str = "code") -> DataFrame:
+    """(lowest, highest, full_range): whether samples leave the limited range of 16 to 235, which an encoder may clip to."""
+    ends = pixels.agg(F.min(column).alias("lowest"), F.max(column).alias("highest"))
+    return ends.withColumn("full_range", (F.col("lowest") < 16) | (F.col("highest") > 235))
+
+
+def mismatches(left: DataFrame, right: DataFrame, keys: list[str], code: str = "code", examples: int = 5) -> DataFrame:
+    """(cells, different, missing, first): how a decoded surface departs from its source, with the first places at which it does."""
+    a, b = left.select(*keys, F.col(code).alias("_a")), right.select(*keys, F.col(code).alias("_b"))
+    both = a.join(b, keys, "full_outer").withColumn("_off", ~F.col("_a").eqNullSafe(F.col("_b")))
+    first = both.filter("_off").select(F.struct(*keys, F.col("_a").alias("source"), F.col("_b").alias("decoded")).alias("at")).orderBy("at").limit(examples).agg(F.sort_array(F.collect_list("at")).alias("first"))
+    count = both.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("_off").cast("long")).alias("different"), F.sum((F.col("_a").isNull() | F.col("_b").isNull()).cast("long")).alias("missing"))
+    return count.crossJoin(F.broadcast(first))

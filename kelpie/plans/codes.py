@@ -23,3 +23,10 @@ def coded_cells(spark: SparkSession, sf_dir: str, name: str, granularity: str =
         cells = vectors.explode_cells(with_amax_scale(vectors.rows(spark, sf_dir), granularity, divisor, multiplier))
     code, restored = quantizer(F.col("v"), F.col("scale"))
     return cells.withColumn("code", code).withColumn("restored", restored)
+
+
+def coded_rows(spark: SparkSession, sf_dir: str, name: str, granularity: str = "block-layer") -> DataFrame:
+    """(layer, token, codes): the codes of coded_cells() in the row's own array; scales of a block of rows or of a row."""
+    quantizer, divisor = REGISTRY[name]
+    rows = with_amax_scale(vectors.rows(spark, sf_dir), granularity, divisor)
+    return rows.select("layer", "token", F.transform("row", lambda v: quantizer(v, F.col("scale"))[0].cast("int")).alias("codes"))

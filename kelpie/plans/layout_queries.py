@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import codes as C
 from kelpie.functions.numeric import unit
-from kelpie.operators import matrices, packing
-from kelpie.plans.base import CELLS, VECS, fp4_sql, int_sql, query, r6
+from kelpie.operators import matrices, packets, packing
+from kelpie.plans.base import CELLS, VECS, bf16_sql, exp_sql, fp4_sql, int_sql, query, r6
 from kelpie.plans.codes import coded_cells
 from kelpie.plans.scale_queries import E4M3
 from kelpie.sources import manifests, vectors
@@ -61,11 +61,8 @@ def fp8_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT layer, token, head, (p * 2 + channel // 8)::BIGINT AS place, sum(bit << (channel % 8)::INTEGER)::INTEGER AS packed FROM bits GROUP BY layer, token, head, p, channel // 8""",
 )
 def bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits of each 16-channel row transposed in the row's own array, without a shuffle of bits."""
-    from kelpie.functions.quantizers import fp8
-
-    vecs = vectors.kv_vectors(spark, sf_dir).select("layer", "token", "head", F.transform("vec", lambda v: fp8(v)[0]).alias("codes"))
-    planes = vecs.select("layer", "token", "head", F.posexplode(packing.bit_planes(F.col("codes"))).alias("place", "packed"))
+    """Bits of each 16-channel row transposed in Arrow batches, without a shuffle of bits."""
+    planes = packing.fp8_planes(vectors.kv_vectors(spark, sf_dir), ["layer", "token", "head"], "vec")
     return planes.select("layer", "token", "head", F.col("place").cast("long").alias("place"), "packed")
 
 
@@ -132,23 +129,53 @@ def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_cells(spark, sf_dir, "fp4").select("layer", "token", (F.col("channel") * 4 + F.col("head")).alias("interleaved"), (F.col("head") * 16 + F.col("channel")).alias("concatenated"), "code")
 
 
+VIEWS, WIDTH = vectors.LAYERS * vectors.HEADS, vectors.DIM
+#: By model the padded views, the rows that views fill, and the width of a frame.
+SHAPES = {m: (padded, *packing.frame_shape(m, VIEWS, WIDTH)[::2]) for m, (padded, _) in packing.GEOMETRIES.items()}
+_SHAPES_SQL = "(VALUES " + ", ".join(f"('{m}', {padded}, {filled}, {full})" for m, (padded, filled, full) in SHAPES.items()) + ") g(model, padded, filled, width)"
+
+
+def _int8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, view, codes): block-scaled INT8 codes of each view's row, made in the row's own array."""
+    from kelpie.operators.scales import with_amax_scale
+
+    rows = with_amax_scale(vectors.rows(spark, sf_dir), "block-layer", 127.0)
+    codes = rows.select("layer", "token", F.transform("row", lambda v: (F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(v / F.col("scale")))) + 128).cast("int")).alias("codes"))
+    heads = F.array(*[F.struct(F.lit(h).cast("long").alias("head"), F.slice("codes", h * WIDTH + 1, WIDTH).alias("codes")) for h in range(vectors.HEADS)])
+    return codes.select("layer", "token", F.explode(heads).alias("h")).select("token", (F.col("layer") * vectors.HEADS + F.col("h.head")).alias("view"), "h.codes")
+
+
+def _frames(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    return packing.token_frames(_int8_rows(spark, sf_dir), model, VIEWS, WIDTH).withColumn("model", F.lit(model))
+
+
 @query(
     "layout_token_frames",
-    f"""WITH {INT8}, p AS (SELECT token // 8 AS frame, token % 8 * 20 + view AS frame_row, channel, code FROM coded)
-SELECT g.frame, g.frame_row, g.channel, coalesce(p.code, 128)::INTEGER AS code FROM (SELECT frame, frame_row, channel FROM (SELECT DISTINCT frame FROM p), range(160) r(frame_row), range(16) c(channel)) g LEFT JOIN p USING (frame, frame_row, channel)""",
+    f"""WITH {INT8}, p AS (SELECT model, token // 8 AS frame, token % 8 * padded + view % filled AS frame_row, view // filled * {WIDTH} + channel AS col, code FROM coded, {_SHAPES_SQL}),
+f AS (SELECT DISTINCT token // 8 AS frame FROM coded),
+grid AS (SELECT model, frame, r AS frame_row, c AS col, width, padded * 8 AS height FROM f, {_SHAPES_SQL}, LATERAL (SELECT unnest(range(padded * 8)) AS r), LATERAL (SELECT unnest(range(width)) AS c))
+SELECT model, frame, any_value(height)::INTEGER AS height, any_value(width)::INTEGER AS width, md5(string_agg(coalesce(code, 128)::INTEGER::VARCHAR, ',' ORDER BY frame_row, col)) AS pixels_md5
+FROM grid LEFT JOIN p USING (model, frame, frame_row, col) GROUP BY 1, 2""",
 )
 def layout_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight tokens a frame, sixteen views padded to twenty."""
-    return packing.token_frames(coded_cells(spark, sf_dir, "int8").select("token", "view", "channel", "code"), 20)
+    """Eight tokens a frame in the three geometries: views padded to 64 (two halves side by side), 16 and 32; a digest of every frame's samples."""
+    out = None
+    for model in packing.GEOMETRIES:
+        frames = _frames(spark, sf_dir, model).select("model", "frame", "height", "width", F.md5(F.concat_ws(",", F.col("pixels").cast("array<string>")).cast("binary")).alias("pixels_md5"))
+        out = frames if out is None else out.unionByName(frames)
+    return out
 
 
-@query("layout_inverse", f"WITH {INT8} SELECT view, token, channel, code FROM coded")
+@query("layout_inverse", f"WITH {INT8} SELECT model, view, token, channel, code FROM coded, {_SHAPES_SQL}")
 def layout_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The codes back from the frames, without padded views and tokens."""
-    tokens = vectors.rows(spark, sf_dir).agg((F.max("token") + 1).alias("n"))
-    frames = layout_token_frames(spark, sf_dir).crossJoin(F.broadcast(tokens))
-    out = frames.select((F.col("frame_row") % 20).alias("view"), (F.col("frame") * 8 + F.floor(F.col("frame_row") / 20)).cast("long").alias("token"), "channel", "code", "n")
-    return out.filter("view < 16 and token < n").drop("n")
+    """The codes back from the frames of each geometry, without padded views and tokens."""
+    tokens, out = vectors.rows(spark, sf_dir).agg((F.max("token") + 1).alias("tokens")), None
+    for model in packing.GEOMETRIES:
+        frames = _frames(spark, sf_dir, model).crossJoin(F.broadcast(tokens))
+        rows = packing.frame_rows(frames, model, VIEWS, WIDTH, "tokens", ["model"])
+        cells = rows.select("model", "view", "token", F.posexplode("codes").alias("channel", "code")).withColumn("channel", F.col("channel").cast("long"))
+        out = cells if out is None else out.unionByName(cells)
+    return out
 
 
 @query("roundtrip_exact", f"WITH {INT8} SELECT layer, count(*) AS n_cells, TRUE AS exact FROM coded GROUP BY 1")
@@ -163,19 +190,61 @@ def roundtrip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("layer").agg(F.count(F.lit(1)).alias("n_cells"), F.min(F.col("same").cast("int")).cast("boolean").alias("exact"))
 
 
-@query("restore", f"WITH {INT8} SELECT layer, head, token, channel, round((code - 128) * scale, 9) + 0.0 AS restored FROM coded")
+_HALF = f"pow(2.0, greatest({exp_sql('greatest(abs(x), pow(2.0, -30))')}, -14.0) - 10)"
+
+
+@query("restore", f"WITH {INT8}, r AS (SELECT layer, head, token, channel, (code - 128) * scale AS x FROM coded) SELECT layer, head, token, channel, round(sign(x) * round_even(abs(x) / {_HALF}, 0) * {_HALF}, 9) + 0.0 AS restored FROM r")
 def restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded_cells(spark, sf_dir, "int8").select("layer", "head", "token", "channel", (F.round((F.col("code") - 128) * F.col("scale"), 9) + 0.0).alias("restored"))
+    """Codes back to half-precision values."""
+    from kelpie.functions.numeric import fp16
+
+    cells = coded_cells(spark, sf_dir, "int8")
+    return cells.select("layer", "head", "token", "channel", (F.round(fp16((F.col("code") - 128) * F.col("scale")), 9) + 0.0).alias("restored"))
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(format, model, obj, packet): objects of 256 tokens, their layers as groups of views, in each geometry and format, through the portable coder."""
+    vecs = vectors.kv_vectors(spark, sf_dir).select(F.floor(F.col("token") / 256).cast("long").alias("obj"), F.col("layer").alias("grp"), "view", "token", "vec")
+    out = None
+    for model in packing.GEOMETRIES:
+        for split in (False, True):
+            made = packets.encoded_packets(vecs, ["obj"], model, 0.0267, packets.Deflate(), split)
+            made = made.select(F.lit(packets.SPLIT if split else packets.WHOLE).alias("format"), F.lit(model).alias("model"), "obj", "packet")
+            out = made if out is None else out.unionByName(made)
+    return out
 
 
-@query("packet_header", "SELECT vec_id, 16::INTEGER AS views, (vec_id % 7 + 1)::INTEGER AS frames, 32::BIGINT AS scale_bytes, (vec_id % 7 + 1)::BIGINT AS payload_bytes FROM embeddings")
+_FORMATS_SQL = f"(VALUES ('{packets.WHOLE}', FALSE), ('{packets.SPLIT}', TRUE)) k(format, split)"
+
+
+@query(
+    "packet_header",
+    f"""WITH {CELLS}, s AS (SELECT token // 256 AS obj, view, sqrt(12.0::DOUBLE) * 0.0267 * sqrt(avg(v * v)) AS error, max(abs(v)) / 127.0 AS floor_ FROM cells GROUP BY 1, 2),
+o AS (SELECT obj, count(*)::INTEGER AS views, sum((floor_ >= error)::INTEGER)::INTEGER AS floors FROM s GROUP BY 1), t AS (SELECT token // 256 AS obj, count(DISTINCT token)::INTEGER AS tokens FROM cells GROUP BY 1)
+SELECT format, model, obj, ((tokens + 7) // 8)::INTEGER AS frames, (padded * 8)::INTEGER AS height, width::INTEGER AS width, views, tokens, 8 AS tokens_per_frame, floors AS range_floor_views, (2 * views)::BIGINT AS scale_bytes,
+       CASE WHEN split THEN (views * tokens * {WIDTH} + 1) // 2 ELSE 0 END::BIGINT AS low_bytes, TRUE AS has_payload
+FROM o JOIN t USING (obj), {_SHAPES_SQL}, {_FORMATS_SQL}""",
+)
 def packet_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets put together and parsed again."""
-    frames = (F.col("vec_id") % 7 + 1).cast("int")
-    head = F.to_json(F.struct(F.lit("kvcodec-token-hevc-v2").alias("format"), F.lit("model").alias("model"), frames.alias("frames"), F.lit(160).alias("height"), F.lit(16).alias("width"), F.lit(16).alias("views"), F.lit(500).alias("tokens"), F.lit(8).alias("tokens_per_frame")))
-    packets = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.concat(manifests.pack_header(head), F.unhex(F.expr("repeat('00', 32)")), F.unhex(F.repeat(F.lit("ff"), frames))).alias("packet"))
-    out = manifests.parse_packet(packets)
-    return out.select("vec_id", "header.views", "header.frames", F.octet_length("scales").cast("long").alias("scale_bytes"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    """Packets of both formats and all geometries, parsed by columns."""
+    out = manifests.parse_packet(_packets(spark, sf_dir))
+    fields = [F.col(f"header.{c}").alias(c) for c in ("frames", "height", "width", "views", "tokens", "tokens_per_frame", "range_floor_views")]
+    return out.select("format", "model", "obj", *fields, F.octet_length("scales").cast("long").alias("scale_bytes"), F.octet_length("low").cast("long").alias("low_bytes"), (F.octet_length("payload") > 0).alias("has_payload"))
+
+
+@query(
+    "packet_round_trip",
+    f"""WITH {CELLS}, s AS (SELECT *, greatest(sqrt(12.0::DOUBLE) * 0.0267 * sqrt(avg(v * v) OVER w), max(abs(v)) OVER w / 127.0) AS target FROM cells WINDOW w AS (PARTITION BY token // 256, view)),
+t AS (SELECT *, CASE WHEN target > 0 THEN {bf16_sql("target", True)} ELSE 1.0 END AS scale FROM s)
+SELECT format, model, obj, view, round(any_value(scale), 9) AS scale, md5(string_agg((round_even(v / scale, 0) + 128)::INTEGER::VARCHAR, ',' ORDER BY token, channel)) AS codes_md5
+FROM (SELECT *, token // 256 AS obj FROM t), (SELECT model FROM {_SHAPES_SQL}) m, {_FORMATS_SQL} GROUP BY 1, 2, 3, 4""",
+)
+def packet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes and scales that come back from packets of both formats and all geometries."""
+    rows = packets.decoded_packets(_packets(spark, sf_dir), ["format", "model", "obj"], packets.Deflate())
+    joined = rows.groupBy("format", "model", "obj", "view").agg(F.min("scale").alias("scale"), F.sort_array(F.collect_list(F.struct("token", "codes"))).alias("rows"))  # the tokens of one object
+    text = F.concat_ws(",", F.flatten(F.transform("rows", lambda r: r["codes"].cast("array<string>"))))
+    return joined.select("format", "model", "obj", "view", F.round("scale", 9).alias("scale"), F.md5(text.cast("binary")).alias("codes_md5"))
 
 
 UNIT_CELLS = f"""{CELLS}, mu AS (SELECT *, v - avg(v) OVER (PARTITION BY view, channel) AS c FROM cells), un AS (SELECT *, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY view, token)), 1e-8) AS u FROM mu)"""
@@ -239,16 +308,24 @@ def hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("value", F.when(F.bit_count(F.col("i").bitwiseAND(F.col("j"))) % 2 == 0, 0.25).otherwise(-0.25))
 
 
-def _angles(stages: int, half: int) -> np.ndarray:
-    return np.arange(stages * half, dtype=float).reshape(stages, half) / 10
+def _angles(view: int) -> np.ndarray:
+    """The angles of a view's stages; view 0 has them all in steps of a tenth."""
+    return np.arange(4 * 8, dtype=float).reshape(4, 8) / 10 * (1 + view / 16)
+
 
+def _stage_sql(s: int) -> str:
+    """Stage s as a self-join of the cells before it: a cell and its partner 2^s channels away."""
+    low = f"(a.channel >> {s + 1} << {s}) | (a.channel & {(1 << s) - 1})"
+    angle = f"(({s * 8} + ({low})) / 10.0::DOUBLE * (1 + a.view / 16.0::DOUBLE))"
+    return f"s{s + 1} AS (SELECT a.view, a.token, a.channel, cos({angle}) * a.v + CASE WHEN (a.channel >> {s}) & 1 = 0 THEN 1 ELSE -1 END * sin({angle}) * b.v AS v FROM s{s} a JOIN s{s} b ON a.view = b.view AND a.token = b.token AND b.channel = xor(a.channel, {1 << s}::BIGINT))"
 
-@query("butterfly")
+
+@query("butterfly", f"WITH {CELLS}, s0 AS (SELECT view, token, channel, v FROM cells), {', '.join(_stage_sql(s) for s in range(4))} SELECT view, token, channel::INTEGER AS channel, round(v, 6) + 0.0 AS value FROM s4")
 def butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plane rotations of every vector: the energies stay."""
-    angles = _angles(4, 8)
-    turned = matrices.map_vectors(vectors.kv_vectors(spark, sf_dir).select("view", "token", "vec"), lambda x: matrices.butterfly(x, angles))
-    return turned.select("view", "token", F.posexplode("vec").alias("channel", "v")).select("view", "token", "channel", r6("v").alias("value"))
+    """Plane rotations of every vector by its view's angles, as one matrix a view."""
+    factors = {v: matrices.butterfly_factor(_angles(v)) for v in range(VIEWS)}
+    turned = matrices.rotate_large(vectors.kv_vectors(spark, sf_dir).select("view", "token", "vec"), factors)
+    return turned.select("view", "token", F.posexplode("vec").alias("channel", "v")).select("view", "token", "channel", (r6("v") + 0.0).alias("value"))
 
 
 @query("cayley")
@@ -260,20 +337,43 @@ def cayley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("view", "token", F.posexplode("vec").alias("channel", "v")).select("view", "token", "channel", r6("v").alias("value"))
 
 
-@query("zip_proxy")
-def zip_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DEFLATE sizes of packed FP4 codes, a stream for each layer and one of all layers interleaved by token; scales stored raw."""
+#: Tokens that a stream of one compressor holds, so that no task gets a whole table.
+STREAM_TOKENS = 65_536
+
+
+def zip_streams(spark: SparkSession, sf_dir: str, max_tokens: int = 0) -> DataFrame:
+    """(stream, raw_bytes, zip_bytes, layers, tokens): packed FP4 codes channel by channel with the heads side by side, a stream for each layer and one of all layers by token.
+
+    A compressor's state is carried over STREAM_TOKENS tokens. With max_tokens only the tokens below it count, as in a report over a capped number.
+    """
     from kelpie.functions.quantizers import fp4_native
     from kelpie.operators.scales import with_amax_scale
 
     rows = with_amax_scale(vectors.rows(spark, sf_dir), "token-layer", 6.0)
-    codes = rows.select("layer", "token", F.transform("row", lambda v: fp4_native(v, F.col("scale"))[0]).alias("codes"))
-    layers = packing.deflate_sizes(codes.select(F.concat(F.lit("layer-"), F.col("layer").cast("string")).alias("stream"), "token", "layer", "codes"), ["stream"], ["token"], "codes", 4)
-    whole = packing.deflate_sizes(codes.withColumn("stream", F.lit("token-interleaved")), ["stream"], ["token", "layer"], "codes", 4)
-    values = vectors.rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    out = layers.unionByName(whole).crossJoin(F.broadcast(values))
-    tokens = F.when(F.col("stream") == "token-interleaved", F.col("n")).otherwise(F.col("n") / 4)
-    return out.select("stream", "raw_bytes", "zip_bytes", (tokens * 2).cast("long").alias("metadata_bytes"), r6((F.col("zip_bytes") + tokens * 2) * 8 / (tokens * 64)).alias("bits_per_value"))
+    rows = rows.filter(F.col("token") < max_tokens) if max_tokens else rows
+    interleaved = F.array(*[F.col("row")[h * vectors.DIM + c] for c in range(vectors.DIM) for h in range(vectors.HEADS)])
+    codes = rows.select("layer", "token", F.floor(F.col("token") / STREAM_TOKENS).cast("long").alias("part"), F.transform(interleaved, lambda v: fp4_native(v, F.col("scale"))[0]).alias("codes"))
+    layers = packing.deflate_sizes(codes.select(F.concat(F.lit("layer-"), F.col("layer").cast("string")).alias("stream"), "part", "token", "layer", "codes"), ["stream", "part"], ["token"], "codes", 4)
+    whole = packing.deflate_sizes(codes.withColumn("stream", F.lit("token-interleaved")).select("stream", "part", "token", "layer", "codes"), ["stream", "part"], ["token", "layer"], "codes", 4)
+    sums = layers.unionByName(whole).groupBy("stream").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("zip_bytes").alias("zip_bytes"))
+    held = codes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layer").alias("layers"))
+    token_layers = F.when(F.col("stream") == "token-interleaved", F.col("n")).otherwise(F.col("n") / F.col("layers"))
+    return sums.crossJoin(F.broadcast(held)).withColumn("token_layers", token_layers.cast("long")).drop("n", "layers")
+
+
+@query("zip_proxy")
+def zip_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEFLATE sizes of packed FP4 codes; scales stored raw."""
+    out, metadata = zip_streams(spark, sf_dir), F.col("token_layers") * 2
+    return out.select("stream", "raw_bytes", "zip_bytes", metadata.alias("metadata_bytes"), r6((F.col("zip_bytes") + metadata) * 8 / (F.col("token_layers") * 64)).alias("bits_per_value"))
+
+
+@query("zip_inputs", f"WITH {fp4_sql('token-layer')}, b AS (SELECT layer, token, (channel * 4 + head) // 2 AS byte, sum(native::INTEGER << (4 * ((channel * 4 + head) % 2))::INTEGER) AS packed FROM coded GROUP BY 1, 2, 3) SELECT 'layer-' || layer AS stream, token, md5(string_agg(packed::VARCHAR, ',' ORDER BY byte)) AS bytes_md5 FROM b GROUP BY layer, token")
+def zip_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compressor of zip_proxy() is fed, row by row."""
+    cells = coded_cells(spark, sf_dir, "fp4_native", "token-layer").select("layer", "token", (F.col("channel") * 4 + F.col("head")).alias("place"), "code")
+    rows = packing.packed_bytes(cells, ["layer", "token"], "place", 4).groupBy("layer", "token").agg(F.sort_array(F.collect_list(F.struct("byte", "packed"))).alias("b"))
+    return rows.select(F.concat(F.lit("layer-"), F.col("layer").cast("string")).alias("stream"), "token", F.md5(F.concat_ws(",", F.transform("b", lambda x: x["packed"].cast("string"))).cast("binary")).alias("bytes_md5"))
 
 
 @query("energy_of_moments", f"WITH {VECS} SELECT layer, head, count(*) AS n, round(sum(list_sum(list_transform(vec, lambda x: x * x))), 6) AS trace FROM vecs GROUP BY 1, 2")
@@ -291,14 +391,10 @@ SELECT layer, head, round(sum(ee * cov * n), 9) AS qk_error, round(sum(vv * cov
 
 @query("qk_error", _QK)
 def qk_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quadratic form of errors under each block's second moments, weighted by their counts. Codes are made in the vector's array, so that a row holds all its channels and the moments come from one aggregation."""
-    from kelpie.functions.quantizers import fp4
+    """The quadratic form of errors under each block's second moments, weighted by their counts: from Gram matrices of a block's rows, in Arrow batches."""
     from kelpie.operators.scales import with_amax_scale
 
     scaled = with_amax_scale(vectors.rows(spark, sf_dir), "block-layer", 6.0)
-    heads = scaled.select("layer", "token", "block", "scale", F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("head"), vectors.head_slice(F.col("row"), F.lit(h)).alias("vec")) for h in range(vectors.HEADS)])).alias("h")).select("layer", "block", "scale", "h.head", "h.vec")
-    errors = heads.withColumn("err", F.transform("vec", lambda v: fp4(v, F.col("scale"))[1] - v))
-    left = errors.select("layer", "head", "block", "vec", "err", F.posexplode(F.arrays_zip("vec", "err")).alias("d", "x"))
-    cells = left.select("layer", "head", "block", "d", "x", F.posexplode(F.arrays_zip("vec", "err")).alias("e", "y"))
-    sums = cells.groupBy("layer", "head", "block", "d", "e").agg(F.avg(F.col("x.vec") * F.col("y.vec")).alias("cov"), F.count(F.lit(1)).alias("n"), F.sum(F.col("x.err") * F.col("y.err")).alias("ee"), F.sum(F.col("x.vec") * F.col("y.vec")).alias("vv"))
-    return sums.groupBy("layer", "head").agg(F.round(F.sum(F.col("ee") * F.col("cov") * F.col("n")), 9).alias("qk_error"), r6(F.sum(F.col("vv") * F.col("cov") * F.col("n"))).alias("qk_reference"))
+    blocks = scaled.groupBy("layer", "block").agg(F.min("scale").alias("scale"), F.collect_list("row").alias("rows"))  # a block has 32 rows
+    sums = matrices.block_forms(blocks, "layer", "rows", "scale", vectors.HEADS)
+    return sums.groupBy("layer", "head").agg(F.round(F.sum("error_form"), 9).alias("qk_error"), r6(F.sum("reference_form")).alias("qk_reference"))

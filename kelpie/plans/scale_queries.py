@@ -214,12 +214,23 @@ def scale_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARMS = " UNION ALL ".join(f"SELECT '{name}' AS arm, v, code, restored FROM ({sql})" for name, sql in (("fp4", f"WITH {fp4_sql('block-layer')} SELECT v, code::INTEGER AS code, restored FROM coded"), ("int4", f"WITH {int_sql('block-layer', 4)} SELECT v, code, restored FROM coded"), ("int8", f"WITH {int_sql('block-layer', 8)} SELECT v, code, restored FROM coded")))
 
 
-@query("nmse_by_arm", f"SELECT arm, count(*) AS n_values, round(sum((restored - v) * (restored - v)), 6) AS error_square, round(sum(v * v), 6) AS reference_square, round(sum((restored - v) * (restored - v)) / greatest(sum(v * v), 1e-30), 9) AS nmse FROM ({ARMS}) GROUP BY arm")
+_ARM_SUMS = "count(*) AS n_values, round(sum((restored - v) * (restored - v)), 6) AS error_square, round(sum(v * v), 6) AS reference_square, round(sum((restored - v) * (restored - v)) / greatest(sum(v * v), 1e-30), 9) AS nmse, round(sqrt(sum((restored - v) * (restored - v)) / count(*)), 9) AS rmse"
+
+
+def _arm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arms = [coded_cells(spark, sf_dir, n).select(F.lit(n).alias("arm"), "v", "code", "restored") for n in ("fp4", "int4", "int8")]
+    return arms[0].unionByName(arms[1]).unionByName(arms[2])
+
+
+@query("nmse_by_arm", f"SELECT arm, {_ARM_SUMS} FROM ({ARMS}) GROUP BY arm")
 def nmse_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = [coded_cells(spark, sf_dir, n).select(F.lit(n).alias("arm"), "v", "restored") for n in ("fp4", "int4", "int8")]
-    cells = arms[0].unionByName(arms[1]).unionByName(arms[2])
-    out = distortion(cells, ["arm"])
-    return out.select("arm", "n_values", r6("error_square").alias("error_square"), r6("reference_square").alias("reference_square"), F.round(F.col("error_square") / F.greatest("reference_square", F.lit(1e-30)), 9).alias("nmse"))
+    out = distortion(_arm_cells(spark, sf_dir), ["arm"])
+    return out.select("arm", "n_values", r6("error_square").alias("error_square"), r6("reference_square").alias("reference_square"), F.round(F.col("error_square") / F.greatest("reference_square", F.lit(1e-30)), 9).alias("nmse"), F.round(F.sqrt(F.col("error_square") / F.col("n_values")), 9).alias("rmse"))
+
+
+@query("arm_code_histogram", f"SELECT arm, code, count(*) AS n FROM ({ARMS}) GROUP BY 1, 2")
+def arm_code_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arm_cells(spark, sf_dir).groupBy("arm", F.col("code").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fp8_epsilon", f"WITH {CELLS}, {E4M3} SELECT round(sqrt(sum((restored - v) * (restored - v)) / sum(v * v)), 9) AS epsilon FROM coded WHERE token % 4 = 0")
