@@ -179,6 +179,22 @@ def video_sizes(frames: DataFrame, keys: list[str], params: str, ffmpeg: str = "
     return frames.groupBy(*keys).applyInArrow(run, schema)
 
 
+def lossless_rates(frames: DataFrame, arm: str, about: DataFrame, inter: str, intra: str, ffmpeg: str = "ffmpeg") -> DataFrame:
+    """(arm, raw_bytes, intra_bytes, bitstream_bytes, metadata_bytes, n_values, total_bytes, bits_per_value, ratio_vs_bf16, inter_gain) of frames (arm, gop, frame, height, width, pixels).
+
+    Every group of pictures is a task of its own, encoded with and without prediction between frames and decoded again; the query fails if one came back changed. `about` has (arm, metadata_bytes, n_values), a row for each arm.
+    """
+    from kelpie.operators.metrics import rate_summary
+
+    def sizes(params: str, name: str) -> DataFrame:
+        found = video_sizes(frames, [arm, "gop"], params, ffmpeg)
+        checked = found.filter(F.when(F.col("exact"), True).otherwise(F.raise_error(F.concat(F.lit("a group came back changed: "), F.col("gop").cast("string")))))
+        return checked.groupBy(arm).agg(F.sum("raw_bytes").alias(f"_raw_{name}"), F.sum("stream_bytes").alias(name))
+
+    both = sizes(inter, "bitstream_bytes").join(sizes(intra, "intra_bytes"), arm).withColumnRenamed("_raw_bitstream_bytes", "raw_bytes").drop("_raw_intra_bytes")
+    return rate_summary(both.join(about, arm)).withColumn("inter_gain", 1 - F.col("bitstream_bytes") / F.col("intra_bytes"))
+
+
 # The encoder's default cell, its limit, and the parameters of token frames in their order.
 X265_DEFAULTS = {"lossless": "1", "keyint": "32", "min-keyint": "32", "scenecut": "0", "bframes": "3", "b-adapt": "2", "rc-lookahead": "4", "log-level": "error"}
 X265_MOST_BFRAMES = 16

@@ -141,12 +141,31 @@ def unrotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.groupBy("layer", "head").agg(F.count(F.lit(1)).alias("n_cells"), (F.round(F.max("e"), 9) + 0.0).alias("largest_error"))
 
 
-@query("method_rotations", f"WITH {CELLS}, {ROTATED} SELECT 'identity' AS method, layer, round(max(abs(v)), 6) AS peak, round(sum(v * v), 6) AS energy FROM cells GROUP BY layer UNION ALL SELECT 'hadamard', layer, round(max(abs(r)), 6), round(sum(r * r), 6) FROM rotated GROUP BY layer")
+_SIGN = "CASE WHEN ((a.head + 1) & (1 << (k % 4)::INTEGER)) = 0 THEN 1 ELSE -1 END"
+
+
+@query(
+    "method_rotations",
+    f"""WITH {CELLS}, {ROTATED},
+heads AS (SELECT a.view, a.layer, a.token, k AS channel, sum(a.v * {HAD_SQL}) * any_value({_SIGN}) AS r FROM cells a, range(16) t(k) GROUP BY 1, 2, 3, 4),
+both_ AS (SELECT layer, (channel + 3 * layer) % 16 AS channel, r FROM heads),
+arms AS (SELECT 'identity' AS method, layer, channel, v AS r FROM cells UNION ALL SELECT 'hadamard', layer, channel, r FROM rotated UNION ALL SELECT 'head_only', layer, channel, r FROM heads UNION ALL SELECT 'head_layer', layer, channel, r FROM both_)
+SELECT method, layer, round(max(abs(r)), 6) AS peak, round(sum(r * r), 6) AS energy, round(sum(CASE WHEN channel = 0 THEN r ELSE 0 END), 6) + 0.0 AS first_channel FROM arms GROUP BY 1, 2""",
+)
 def method_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms: the energy is the same under each rotation, the peak is not."""
-    vecs = vectors.kv_vectors(spark, sf_dir)
-    arms = vecs.select("layer", F.explode(F.create_map(F.lit("identity"), F.col("vec"), F.lit("hadamard"), matrices.rotate(F.col("vec"), H16))).alias("method", "x"))
-    return arms.groupBy("method", "layer").agg(r6(F.max(F.array_max(F.transform("x", F.abs)))).alias("peak"), r6(F.sum(square_sum(F.col("x")))).alias("energy"))
+    """Arms of rotations: none, one for all views, one for each head, and each head's followed by one for the layer. The energy is the same under each."""
+    import numpy as np
+
+    h = np.array(H16)
+    of_head = [h * np.array([-1.0 if head + 1 & 1 << k % 4 else 1.0 for k in range(vectors.DIM)]) for head in range(vectors.HEADS)]
+    of_layer = [np.roll(np.eye(vectors.DIM), 3 * layer, axis=1) for layer in range(vectors.LAYERS)]
+    views = range(vectors.LAYERS * vectors.HEADS)
+    methods = {"identity": {v: np.eye(vectors.DIM) for v in views}, "hadamard": {v: h for v in views}, "head_only": {v: of_head[v % vectors.HEADS] for v in views}, "head_layer": {v: of_head[v % vectors.HEADS] @ of_layer[v // vectors.HEADS] for v in views}}
+    vecs, out = vectors.kv_vectors(spark, sf_dir).select("layer", "view", "vec"), None
+    for method, matrix in methods.items():
+        arm = matrices.rotate_large(vecs, matrix).select(F.lit(method).alias("method"), "layer", F.col("vec").alias("x"))
+        out = arm if out is None else out.unionByName(arm)
+    return out.groupBy("method", "layer").agg(r6(F.max(F.array_max(F.transform("x", F.abs)))).alias("peak"), r6(F.sum(square_sum(F.col("x")))).alias("energy"), (r6(F.sum(F.col("x")[0])) + 0.0).alias("first_channel"))
 
 
 @query("layer_shift", f"WITH {VECS}, f AS (SELECT *, count(*) OVER (PARTITION BY layer, head, block) AS n FROM vecs) SELECT layer, head, block, block * 32 + (token % 32 + layer * 3 + 1) % 32 AS shifted, token FROM f WHERE n = 32")
