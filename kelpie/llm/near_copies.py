@@ -9,12 +9,15 @@ a closer one more surely); the pigeonring filter and the full Hamming check on
 fingerprints of the same shingles (DISTANCE of 64 bits, five deviations above the
 mean of a pair at ALIKE) prune them, and the sets themselves decide.
 
-Texts with the same set are one node. All pairs of a bin of up to BIN nodes are
-candidates. In a larger one all nodes are first held against a few pivots; the
-nodes that are then outside the bin's largest component are held against those
-of its other components. Pairs within a component change nothing, so the
-components are those of all pairs, without pairing a group of near copies with
-itself.
+Texts with the same set are one node. The nodes of bins beyond BIN are held
+against a few pivots, each in the largest of its bins; what is linked then is one
+component. After that only nodes of different components are candidates: all of a
+small bin, and in a large one those outside its largest component with all others.
+Pairs within a component change nothing, so the components are those of all
+pairs, without pairing a group of near copies with itself. In large bins, where
+texts that share a passage meet, fingerprints of WIDE words are compared too:
+WIDE_DISTANCE of their bits is three and a half deviations above the mean of a pair at ALIKE
+(of sets of at least LEAST shingles; smaller ones pass), and tells 0.8 from 0.7.
 
 Edge cases: a null, empty or blank text has the empty set and is a copy of its
 like only; fewer words than a shingle has are one shingle; rows are known by
@@ -41,6 +44,7 @@ from kelpie.llm.syncmers import _mix
 SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 5
 DISTANCE, SEGMENTS = 24, 6
+WIDE, WIDE_DISTANCE, LEAST = 64, 690, 10
 BIN, PIVOTS = 32, 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,6 +74,20 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return _mix(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+_WIDE_FACTORS = np.random.default_rng(6).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A byte's bits as the lowest bits of the eight bytes of a 64-bit integer.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE words, whose bits come from as many further hashes of each shingle."""
+    ones = np.zeros(WIDE * 64, dtype=np.int64)
+    for i in range(0, len(hashes), 255):  # as many as a byte can count
+        raw = _mix(hashes[i : i + 255, None] * _WIDE_FACTORS).view(np.uint8)
+        ones += _LANES[raw].sum(axis=0).view(np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).view(np.int64)
+
+
 SIGNATURES = "row long, doc_id long, copy long, fp long, key long, n int, shingles array<int>, bands array<long>"
 
 
@@ -109,11 +127,29 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("copy"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SIGNATURES)
 
 
+def _wide(some: DataFrame) -> DataFrame:
+    """(row, wide): the wide fingerprints of some rows of signatures()."""
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(_mix(np.array(s, dtype=np.int64).astype(np.uint64))) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, pa.int64())], ["row", "wide"])
+
+    return some.select("row", "shingles").mapInArrow(run, "row long, wide array<long>")
+
+
 def _candidates(found: DataFrame) -> DataFrame:
-    """Of pairs (a, na, fa, b, nb, fb) of nodes the distinct ones, a < b, whose sizes allow ALIKE and whose fingerprints pass the pigeonring filter."""
-    sized = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= ALIKE * F.greatest("na", "nb") - 1e-9)
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE
-    return found.filter(sized & pigeonring(F.col("fa"), F.col("fb"), DISTANCE, SEGMENTS) & near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    """Of pairs (a, na, fa, b, nb, fb, and with root or wide fingerprint also these) of nodes the distinct ones, a < b, of different roots, whose sizes allow ALIKE and whose fingerprints pass the pigeonring filter."""
+    kept = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= ALIKE * F.greatest("na", "nb") - 1e-9)
+    kept = kept & pigeonring(F.col("fa"), F.col("fb"), DISTANCE, SEGMENTS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE)
+    if "ra" in found.columns:
+        kept = kept & (F.col("ra") != F.col("rb"))
+    if "wa" in found.columns:
+        differ = F.lit(0)
+        for w in range(WIDE):
+            differ = differ + F.bit_count(F.col("wa")[w].bitwiseXOR(F.col("wb")[w]))
+        kept = kept & ((F.least("na", "nb") < LEAST) | (differ <= WIDE_DISTANCE))
+    return found.filter(kept).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -143,23 +179,30 @@ def links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     discard(keyed, bins)
 
     def side(frame: DataFrame, x: str) -> DataFrame:
-        return frame.select("band", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), *[F.col("root").alias(f"r{x}")] * ("root" in frame.columns))
+        names = {"row": x, "n": f"n{x}", "fp": f"f{x}", "root": f"r{x}", "wide": f"w{x}"}
+        return frame.select("band", *[F.col(c).alias(names[c]) for c in frame.columns if c in names])
+
+    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+        return side(left, "a").join(side(right, "b"), "band")
 
     cold, hot = binned.filter(F.col("size") <= BIN), binned.filter(F.col("size") > BIN)
-    paired = side(cold, "a").join(side(cold, "b"), "band").filter("a < b").drop("band")
-    pivoted = hot.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.explode("pivots").alias("p")).select("a", "na", "fa", F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.fp").alias("fb"))
-    pairs = materialize(_candidates(paired.unionByName(pivoted)), "near-pairs")
-    found = _verified(pairs, signed)
+    if not hot.limit(1).count():
+        pairs = materialize(_candidates(paired(cold, cold).filter("a < b")), "near-pairs")
+        return _verified(pairs, signed)
 
-    if hot.limit(1).count():
-        roots = connected_components(found)
-        rooted = materialize(hot.select("band", "row", "n", "fp").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
-        largest = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.sum("held").alias("members"))
-        outside = materialize(lookup_join(rooted, materialize(largest, "near-largest"), ["band"], "members").filter("root != largest"), "near-outside")
-        if outside.limit(1).count():
-            rest = _candidates(side(outside, "a").join(side(rooted, "b"), "band").filter("ra != rb")).join(pairs, ["src", "dst"], "left_anti")
-            found = found.unionByName(_verified(materialize(rest, "near-rest"), signed))
-    return found
+    largest = hot.groupBy("row").agg(F.max_by(F.struct("n", "fp", "pivots"), F.struct("size", "band")).alias("m"))
+    pivoted = largest.select(F.col("row").alias("a"), F.col("m.n").alias("na"), F.col("m.fp").alias("fa"), F.explode("m.pivots").alias("p"))
+    pairs = materialize(_candidates(pivoted.select("a", "na", "fa", F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.fp").alias("fb"))), "near-pairs")
+    found = _verified(pairs, signed)
+    roots = connected_components(found).withColumnRenamed("node", "row")
+    rooted = materialize(binned.select("band", "row", "n", "fp", "size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
+    cold = rooted.filter(F.col("size") <= BIN)
+    hot = rooted.filter(F.col("size") > BIN)
+    hot = materialize(hot.join(_wide(signed.join(hot.select("row").distinct(), "row")), "row"), "near-hot")
+    shares = hot.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.sum("held").alias("members"))
+    outside = materialize(lookup_join(hot, materialize(shares, "near-largest"), ["band"], "members").filter("root != largest"), "near-outside")
+    rest = _candidates(paired(cold, cold).filter("a < b")).unionByName(_candidates(paired(outside, hot))).distinct().join(pairs, ["src", "dst"], "left_anti")
+    return found.unionByName(_verified(materialize(rest, "near-rest"), signed))
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from kelpie.llm import near_copies
@@ -71,6 +72,18 @@ def test_against_brute_force(spark, monkeypatch, bin_size):
     assert ids(kept) == brute_kept(rows)
 
 
+def test_wide_fingerprints():
+    """Bit by bit, and as far apart as sets of their likeness should be."""
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    mixed = near_copies._mix(some[:, None] * near_copies._WIDE_FACTORS)
+    bits = np.unpackbits(mixed.view(np.uint8).reshape(700, -1), axis=1)
+    assert (near_copies.wide_fingerprint(some) == np.packbits(bits.sum(axis=0) * 2 > 700).view(np.int64)).all()
+    other = np.concatenate((some[:600], rng.integers(0, 1 << 63, 50, dtype=np.uint64)))  # 600 / 750 = 0.8
+    apart = sum((int(a) ^ int(b)).bit_count() if (int(a) ^ int(b)) >= 0 else ((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() for a, b in zip(near_copies.wide_fingerprint(some), near_copies.wide_fingerprint(other), strict=True))
+    assert 500 < apart <= near_copies.WIDE_DISTANCE
+
+
 def test_rows_are_known_by_id_and_text(spark):
     """Other texts under one id stay, copies under another's id go, and of repeated rows one stays."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
