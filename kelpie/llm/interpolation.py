@@ -49,7 +49,8 @@ from kelpie.llm.common import broadcast_small, discard, materialize, partitions
 #: The order of the model; bits of a key that a level of sums deals by; deleted and held-out remainders of the fold; iterations of EM.
 ORDER, BITS, FOLDS, HELD_OUT, DELETED, ITERATIONS = 2, 8, 5, 1, 0, 200
 CELL, CELLS = 0.25, 80
-CHUNK_BYTES = 8 << 20
+#: Text of a chunk; tokens scored at once.
+CHUNK_BYTES, TOKENS_AT_ONCE = 8 << 20, 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -147,14 +148,14 @@ class Chunk:
 
     def estimates(self, totals: np.ndarray, tokens: int, some: slice | np.ndarray = slice(None)) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Of some tokens the count of the longest context, the estimates from the highest order down, and the counts of their words; totals in the order of the n-grams."""
-        by_order = np.split(totals.astype(np.float64), np.cumsum(self.distinct)[:-1])
+        by_order = np.split(totals, np.cumsum(self.distinct)[:-1])
         starts = by_order[0][0]  # as many documents as ends
-        found, context = [ratio(by_order[0][self.gram[0][some]], tokens)], np.full(len(self.gram[0][some]), tokens, dtype=np.float64)
+        found, context = [by_order[0][self.gram[0][some]] / max(1, tokens)], np.full(len(self.gram[0][some]), tokens, dtype=np.float64)
         for k in range(1, len(by_order)):
             at = self.context[k - 1][some]
-            context = np.where(at < 0, starts, by_order[k - 1][at])
+            context = np.where(at < 0, starts, by_order[k - 1][at]).astype(np.float64)
             found.append(ratio(by_order[k][self.gram[k][some]], context))
-        return context, found[::-1], by_order[0][self.gram[0][some]]
+        return context, found[::-1], by_order[0][self.gram[0][some]].astype(np.float64)
 
 
 def _rows(table: pa.Table | pa.RecordBatch, *names: str):
@@ -354,14 +355,19 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
         for batch in batches:
             for doc_ids, sizes, numbers, totals in _rows(batch, "doc_ids", "sizes", "numbers", "totals"):
                 c = Chunk(doc_ids, sizes, numbers, order=order)
-                context, found, own = c.estimates(_unpack(totals), model.tokens)
-                w = weights[bucket(context)]
-                p = sum(w[:, k] * x for k, x in enumerate(found)) + w[:, order] / (model.distinct + 1)
-                base = np.log10((own + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
-                starts = np.cumsum(c.sizes) - c.sizes
-                sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p))]
-                known = np.add.reduceat((own > 0).astype(np.int64), starts)
-                columns = [pa.array(c.doc_ids, pa.int64()), c.folds == HELD_OUT, c.sizes, known, np.full(len(starts), model.tokens, dtype=np.int64), *sums]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                ends, every = np.cumsum(c.sizes), _unpack(totals)
+                first = 0
+                while first < len(ends):  # some documents at once, so that their tokens' estimates stay small
+                    begin = int(ends[first] - c.sizes[first])
+                    last = max(first + 1, int(np.searchsorted(ends, begin + TOKENS_AT_ONCE, side="right")))
+                    context, found, own = c.estimates(every, model.tokens, slice(begin, int(ends[last - 1])))
+                    w = weights[bucket(context)]
+                    p = sum(w[:, k] * x for k, x in enumerate(found)) + w[:, order] / (model.distinct + 1)
+                    base = np.log10((own + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
+                    starts = ends[first:last] - c.sizes[first:last] - begin
+                    sums = [np.add.reduceat(x, starts) for x in ((own > 0).astype(np.int64), base, np.log10(p))]
+                    columns = [pa.array(c.doc_ids[first:last], pa.int64()), c.folds[first:last] == HELD_OUT, c.sizes[first:last], sums[0], np.full(len(starts), model.tokens, dtype=np.int64), *sums[1:]]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    first = last
 
     return joined.select("doc_ids", "sizes", "numbers", "totals").mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
