@@ -29,11 +29,23 @@ def whole_segments(df: DataFrame, segment: Column, size: int, valid: Column) ->
     return marked.join(kept, "segment", "left_semi").drop("_valid")
 
 
+#: Slabs that are numbered in one task.
+SLABS_EACH = 4096
+
+
 def evenly_spaced(df: DataFrame, order: str, count: int) -> DataFrame:
-    """`count` rows of a frame of distinct slabs, evenly spaced with both ends (half to even); all for count <= 0 or >= their number, the middle one for 1."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
+    """`count` rows of a frame of distinct slabs, evenly spaced with both ends (half to even); all for count <= 0 or >= their number, the middle one for 1.
+
+    `order` is a number. Slabs are numbered within runs of SLABS_EACH numbers, on top of the sums of the runs before: the one window without a partition has a line for each run.
+    """
     if count <= 0:
-        return ranked.drop("_i", "_n")
+        return df
+    marked = df.withColumn("_run", F.floor(F.col(order) / SLABS_EACH))
+    runs = marked.groupBy("_run").agg(F.count(F.lit(1)).alias("_held"))
+    base = F.sum("_held").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_run", F.coalesce(base, F.lit(0)).alias("_base"))
+    ranked = marked.withColumn("_at", F.row_number().over(Window.partitionBy("_run").orderBy(order)) - 1).join(runs, "_run").withColumn("_i", F.col("_base") + F.col("_at"))
+    ranked = ranked.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))).select(*df.columns, "_i", "_n")
     if count == 1:
         return ranked.filter("_i = _n div 2").drop("_i", "_n")
     spaced = F.expr(f"exists(sequence(0, {count - 1}), k -> cast(rint(k * (_n - 1) / {count - 1}) as bigint) = _i)")

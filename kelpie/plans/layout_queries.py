@@ -178,7 +178,14 @@ def layout_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("roundtrip_exact", f"WITH {INT8} SELECT layer, count(*) AS n_cells, TRUE AS exact FROM coded GROUP BY 1")
+_MONO, _HIGH = "CASE WHEN code >= 128 THEN 255 - code ELSE code + 128 END", "CASE WHEN code >> 4 >= 8 THEN 15 - (code >> 4) ELSE (code >> 4) + 8 END"
+
+
+@query(
+    "roundtrip_exact",
+    f"""WITH {INT8}, w AS (SELECT layer, code, {_MONO} AS mono, ((code >> 7) << 3) | (code & 7) AS sm, (code >> 3) & 15 AS ex, {_HIGH} AS high, code & 15 AS low, (code * 167 + 13) % 256 AS turned FROM coded)
+SELECT layer, count(*) AS n_cells, bool_and(CASE WHEN mono >= 128 THEN mono - 128 ELSE 255 - mono END = code AND ((sm >> 3) << 7) + (ex << 3) + (sm & 7) = code AND (CASE WHEN high >= 8 THEN high - 8 ELSE 15 - high END << 4) + low = code AND ((turned + 256 - 13) * {pow(167, -1, 256)}) % 256 = code) AS exact FROM w GROUP BY 1""",
+)
 def roundtrip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bijections of bytes, one after the other, give back every code."""
     code = F.col("code")
@@ -280,6 +287,19 @@ def gpa_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.fit_groups(_covariances(spark, sf_dir), "grp").select("grp", r6("cosine_after").alias("pair_cosine"), r6("energy_cosine").alias("energy_cosine"))
 
 
+@query(
+    "gpa_start",
+    f"""WITH {UNIT_CELLS}, tr AS (SELECT a.layer // 2 AS grp, a.view AS l, b.view AS r, sum(a.u * b.u) AS t FROM un a JOIN un b ON a.token = b.token AND a.channel = b.channel AND a.layer // 2 = b.layer // 2 GROUP BY 1, 2, 3),
+n AS (SELECT grp, greatest(1, round_even(t, 0)) AS n FROM tr WHERE l = r QUALIFY row_number() OVER (PARTITION BY grp ORDER BY l) = 1)
+SELECT p.grp, round(avg(p.t / n), 6) + 0.0 AS pair_cosine, round(avg(p.t / sqrt(greatest(el.t, 1e-8) * greatest(er.t, 1e-8))), 6) + 0.0 AS energy_cosine
+FROM tr p JOIN n USING (grp) JOIN tr el ON el.l = p.l AND el.r = p.l JOIN tr er ON er.l = p.r AND er.r = p.r WHERE p.l < p.r GROUP BY 1""",
+)
+def gpa_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosines of all pairs of views that a fit starts from, plain and normalized by their energies."""
+    found = matrices.fit_groups(_covariances(spark, sf_dir), "grp", iterations=0)
+    return found.select("grp", (r6("cosine_before") + 0.0).alias("pair_cosine"), (r6("energy_cosine") + 0.0).alias("energy_cosine"))
+
+
 @query("fit_group")
 def fit_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted rotations of each group, one row for each view and row of its matrix."""

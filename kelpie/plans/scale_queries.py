@@ -172,11 +172,15 @@ def q_int8_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("layer", "token", "head", F.col("channel").cast("long").alias("channel"), code.alias("code"), (F.round(restored, 9) + 0.0).alias("restored"))
 
 
-MAP_SQL = """lv AS (SELECT range - 128 AS level FROM range(256)),
-fd AS (SELECT level, (sign(level) * floor(greatest(abs(level) - 4, 0) / 8.0))::BIGINT AS folded FROM lv),
+def _map_sql(deadzone: int, step: int) -> str:
+    return f"""lv AS (SELECT range - 128 AS level FROM range(256)),
+fd AS (SELECT level, (sign(level) * floor(greatest(abs(level) - {deadzone}, 0) / {float(step)}))::BIGINT AS folded FROM lv),
 mp AS (SELECT level + 128 AS code, dense_rank() OVER (ORDER BY folded) - 1 AS compact, avg(level) OVER (PARTITION BY folded) AS centroid FROM fd)"""
 
 
+MAP_SQL = _map_sql(4, 8)
+
+
 def deadzone_map(spark: SparkSession, deadzone: int, step: int) -> DataFrame:
     """(code, compact, centroid) of all 256 codes."""
     from pyspark.sql.window import Window
@@ -194,7 +198,7 @@ def q_int8_deadzone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("layer", "token", "head", "channel", F.col("compact").alias("code"), F.round(F.col("centroid") * F.col("scale"), 9).alias("restored"))
 
 
-@query("deadzone_identity", "SELECT 256::BIGINT AS n_codes, TRUE AS lossless")
+@query("deadzone_identity", f"WITH {_map_sql(0, 1)} SELECT count(*) AS n_codes, bool_and(abs(centroid - (code - 128)) < 1e-5) AS lossless FROM mp")
 def deadzone_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a dead zone and with step 1 the map loses nothing."""
     return deadzone_map(spark, 0, 1).agg(F.count(F.lit(1)).alias("n_codes"), F.min((F.abs(F.col("centroid") - (F.col("code") - 128)) < 1e-5).cast("int")).cast("boolean").alias("lossless"))

@@ -133,7 +133,7 @@ def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("layer", "head", "token", F.col("channel").cast("long").alias("channel"), F.round("r", 9).alias("rotated"))
 
 
-@query("unrotate", f"WITH {CELLS} SELECT layer, head, count(*) AS n_cells, 0.0::DOUBLE AS largest_error FROM cells GROUP BY 1, 2")
+@query("unrotate", f"WITH {CELLS}, {ROTATED}, back AS (SELECT a.layer, a.head, a.token, k AS channel, sum(a.r * {HAD_SQL}) AS w FROM rotated a, range(16) g(k) GROUP BY 1, 2, 3, 4) SELECT layer, head, count(*) AS n_cells, round(max(abs(v - w)), 9) + 0.0 AS largest_error FROM cells JOIN back USING (layer, head, token, channel) GROUP BY 1, 2")
 def unrotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turning and turning back: the largest error is zero to nine decimals."""
     vecs = vectors.kv_vectors(spark, sf_dir).withColumn("turned", matrices.rotate(F.col("vec"), H16))
