@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the piece cache of a worker, of the symbols merged at once and of the texts encoded at once (a longer text stands alone).
-CACHE_PIECES, MERGE_SYMBOLS, SLICE_BYTES = 250_000, 1 << 20, 2 << 20
+CACHE_PIECES, MERGE_SYMBOLS, SLICE_BYTES = 250_000, 1 << 20, 1 << 20
 #: A list of fewer positions is applied one by one, a longer one at a stroke.
 FEW = 24
 

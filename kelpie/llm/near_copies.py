@@ -43,8 +43,8 @@ from kelpie.llm.syncmers import _mix
 
 SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 5
-DISTANCE, SEGMENTS = 24, 6
-WIDE, WIDE_DISTANCE, LEAST = 64, 690, 10
+DISTANCE, SEGMENTS = 24, 3
+WIDE, WIDE_DISTANCE, LEAST = 32, 362, 10
 BIN, PIVOTS = 32, 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +198,8 @@ def links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     rooted = materialize(binned.select("band", "row", "n", "fp", "size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
     cold = rooted.filter(F.col("size") <= BIN)
     hot = rooted.filter(F.col("size") > BIN)
-    hot = materialize(hot.join(_wide(signed.join(hot.select("row").distinct(), "row")), "row"), "near-hot")
+    some = materialize(hot.select("row").distinct(), "near-hot-rows")
+    hot = materialize(hot.join(_wide(signed.join(broadcast_small(some, 32), "row")), "row"), "near-hot")
     shares = hot.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.sum("held").alias("members"))
     outside = materialize(lookup_join(hot, materialize(shares, "near-largest"), ["band"], "members").filter("root != largest"), "near-outside")
     rest = _candidates(paired(cold, cold).filter("a < b")).unionByName(_candidates(paired(outside, hot))).distinct().join(pairs, ["src", "dst"], "left_anti")

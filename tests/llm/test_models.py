@@ -235,6 +235,21 @@ def test_each_transducer():
     assert toxicity.clause_score("YC9") == (pytest.approx(1.95), 0.0) and toxicity.clause_score("9" * 50)[0] == pytest.approx(50.0)
 
 
+def test_grammar_against_its_parts():
+    """The composed automaton over random clauses, against its five transducers run side by side."""
+    rng = random.Random(11)
+    parts = [toxicity.insults(), toxicity.threats(), toxicity.targeted(), toxicity.negation(), toxicity.reported()]
+    for _ in range(400):
+        symbols = "".join(rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(25)))
+        states, plain, damped = [0] * 5, 0.0, 0.0
+        for s in symbols:
+            steps = [p.step(state, s) for p, state in zip(parts, states, strict=True)]
+            states = [x[0] for x in steps]
+            gain = sum(x[1] for x in steps) * math.prod(x[2] for x in steps)
+            plain, damped = (plain, damped + gain) if any(x[3] for x in steps) else (plain + gain, damped)
+        assert toxicity.clause_score(symbols) == (pytest.approx(plain), pytest.approx(damped))
+
+
 def toxic_rows():
     rng = random.Random(6)
     rows, labels = [], []

@@ -81,7 +81,7 @@ def test_wide_fingerprints():
     assert (near_copies.wide_fingerprint(some) == np.packbits(bits.sum(axis=0) * 2 > 700).view(np.int64)).all()
     other = np.concatenate((some[:600], rng.integers(0, 1 << 63, 50, dtype=np.uint64)))  # 600 / 750 = 0.8
     apart = sum((int(a) ^ int(b)).bit_count() if (int(a) ^ int(b)) >= 0 else ((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() for a, b in zip(near_copies.wide_fingerprint(some), near_copies.wide_fingerprint(other), strict=True))
-    assert 500 < apart <= near_copies.WIDE_DISTANCE
+    assert 250 < apart <= near_copies.WIDE_DISTANCE
 
 
 def test_rows_are_known_by_id_and_text(spark):
