@@ -10,8 +10,9 @@ fingerprints of the same shingles (DISTANCE of 64 bits, five deviations above th
 mean of a pair at ALIKE) prune them, and the sets themselves decide.
 
 Texts with the same set are one node. The nodes of bins beyond BIN are held
-against a few pivots, each in the largest of its bins; what is linked then is one
-component. After that only nodes of different components are candidates: all of a
+against a few pivots, each in the largest of its bins, and those that are then
+outside a bin's largest component against more pivots from it. What is linked is
+one component, and after that only nodes of different components are candidates: all of a
 small bin, and in a large one those outside its largest component with all others.
 Pairs within a component change nothing, so the components are those of all
 pairs, without pairing a group of near copies with itself. In large bins, where
@@ -46,6 +47,8 @@ BANDS, ROWS = 20, 5
 DISTANCE, SEGMENTS = 24, 3
 WIDE, WIDE_DISTANCE, LEAST = 32, 362, 10
 BIN, PIVOTS = 32, 4
+#: Pivots of a large bin's largest component that the nodes outside are held against after each round; in the end none.
+MORE_PIVOTS = (16, 0)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -144,7 +147,8 @@ def _candidates(found: DataFrame) -> DataFrame:
     kept = kept & pigeonring(F.col("fa"), F.col("fb"), DISTANCE, SEGMENTS) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE)
     if "ra" in found.columns:
         kept = kept & (F.col("ra") != F.col("rb"))
-    if "wa" in found.columns:
+    if "wa" in found.columns:  # each pair once: in its first band, and not from both sides
+        kept = kept & (~F.col("ob") | (F.col("a") < F.col("b"))) & (F.col("band") == F.array_min(F.array_intersect("ba", "bb")))
         differ = F.lit(0)
         for w in range(WIDE):
             differ = differ + F.bit_count(F.col("wa")[w].bitwiseXOR(F.col("wb")[w]))
@@ -179,7 +183,7 @@ def links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     discard(keyed, bins)
 
     def side(frame: DataFrame, x: str) -> DataFrame:
-        names = {"row": x, "n": f"n{x}", "fp": f"f{x}", "root": f"r{x}", "wide": f"w{x}"}
+        names = {"row": x, "n": f"n{x}", "fp": f"f{x}", "root": f"r{x}", "wide": f"w{x}", "bands": f"b{x}", "out": f"o{x}"}
         return frame.select("band", *[F.col(c).alias(names[c]) for c in frame.columns if c in names])
 
     def paired(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -192,17 +196,27 @@ def links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     largest = hot.groupBy("row").agg(F.max_by(F.struct("n", "fp", "pivots"), F.struct("size", "band")).alias("m"))
     pivoted = largest.select(F.col("row").alias("a"), F.col("m.n").alias("na"), F.col("m.fp").alias("fa"), F.explode("m.pivots").alias("p"))
-    pairs = materialize(_candidates(pivoted.select("a", "na", "fa", F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.fp").alias("fb"))), "near-pairs")
-    found = _verified(pairs, signed)
-    roots = connected_components(found).withColumnRenamed("node", "row")
-    rooted = materialize(binned.select("band", "row", "n", "fp", "size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
+    bands = materialize(hot.groupBy("row").agg(F.collect_set("band").alias("bands")), "near-hot-rows")  # at most BANDS each
+    wide = materialize(bands.join(_wide(signed.join(broadcast_small(bands.select("row"), 32), "row")), "row"), "near-wide")
+    found, tried = None, None
+    for more in MORE_PIVOTS:
+        pairs = _candidates(pivoted.select("a", "na", "fa", F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.fp").alias("fb")))
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = _verified(pairs, signed)
+        found = linked if found is None else found.unionByName(linked)
+        roots = materialize(connected_components(found).withColumnRenamed("node", "row"), "near-roots")
+        rooted = materialize(binned.select("band", "row", "n", "fp", "size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "near-rooted")
+        hot = rooted.filter(F.col("size") > BIN)
+        held = hot.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"), *[F.min_by(own, F.xxhash64("row", F.lit(j))).alias(f"p{j}") for j in range(more)])
+        best = F.struct("held", "root")
+        shares = held.groupBy("band").agg(F.max_by("root", best).alias("largest"), F.sum("held").alias("members"), *([F.max_by(F.array(*[f"p{j}" for j in range(more)]), best).alias("pivots")] if more else []))
+        hot = lookup_join(hot, materialize(shares, "near-largest"), ["band"], "members").withColumn("out", F.col("root") != F.col("largest"))
+        if more:
+            pivoted = hot.filter("out").select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.explode("pivots").alias("p"))
     cold = rooted.filter(F.col("size") <= BIN)
-    hot = rooted.filter(F.col("size") > BIN)
-    some = materialize(hot.select("row").distinct(), "near-hot-rows")
-    hot = materialize(hot.join(_wide(signed.join(broadcast_small(some, 32), "row")), "row"), "near-hot")
-    shares = hot.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.sum("held").alias("members"))
-    outside = materialize(lookup_join(hot, materialize(shares, "near-largest"), ["band"], "members").filter("root != largest"), "near-outside")
-    rest = _candidates(paired(cold, cold).filter("a < b")).unionByName(_candidates(paired(outside, hot))).distinct().join(pairs, ["src", "dst"], "left_anti")
+    hot = materialize(hot.drop("largest", "pivots").join(wide, "row"), "near-hot")
+    rest = _candidates(paired(cold, cold).filter("a < b")).unionByName(_candidates(paired(hot.filter("out"), hot))).distinct().join(tried, ["src", "dst"], "left_anti")
     return found.unionByName(_verified(materialize(rest, "near-rest"), signed))
 
 
