@@ -14,7 +14,7 @@ SHARD_FORMAT = "qwen35-qk-sequence-shards-v1"
 SHARDS = "format string, shards array<struct<sequence_index: int, worker_files: array<string>, key_token_sha256: string, prompt_token_sha256: string>>"
 RECORDS = "status string, groups array<struct<kind: string, layers: array<int>, views: int, dim: int>>, records array<struct<split: string, domain: string, task: string, tokens: long, slots: long, groups: array<struct<path: string, sha256: string, kind: string>>>>"
 PACKET_FORMATS = ["kvcodec-token-hevc-v1", "kvcodec-token-hevc-v2", "ours-hi4-token-hevc-v1"]
-HEADER = "format string, model string, frames int, height int, width int, views int, `groups` array<int>, tokens int, tokens_per_frame int, values long, low4_bytes int, low4_order string, range_floor_views int"
+HEADER = "format string, model string, frames int, height int, width int, views int, `groups` array<int>, tokens int, tokens_per_frame int, values long, low4_bytes int, low4_order string, held string, view_numbers array<int>, range_floor_views int"
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
