@@ -46,9 +46,9 @@ def frame_shape(model: str, views: int, width: int, tokens_per_frame: int = TOKE
 
 
 def token_frames(rows: DataFrame, model: str, views: int, width: int, keys: list[str] | None = None, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
-    """(keys, frame, height, width, pixels): frames of some tokens with padded views, as one array by rows, from rows (keys, token, view, codes array).
+    """(keys, frame, height, width, pixels, held): frames of some tokens with padded views, as one array by rows, from rows (keys, token, view, codes array).
 
-    Absent cells hold the neutral byte. One shuffle brings a frame's rows together; no cell is exploded.
+    Absent cells hold the neutral byte; `held` has the places (token of the frame * views + view) of the rows that are there. One shuffle brings a frame's rows together; no cell is exploded.
     """
     keys = keys or []
     padded, folded = GEOMETRIES[model]
@@ -56,25 +56,30 @@ def token_frames(rows: DataFrame, model: str, views: int, width: int, keys: list
     line = (F.col("token") % tokens_per_frame * padded + F.col("view") % filled).cast("int")
     entry = F.struct(line.alias("line"), F.col("codes").cast("array<int>").alias("codes"))
     side = F.floor(F.col("view") / filled)
-    placed = rows.select(*keys, F.floor(F.col("token") / tokens_per_frame).cast("long").alias("frame"), F.when(side == 0, entry).alias("first"), F.when(side == 1, entry).alias("second"))
+    place = (F.col("token") % tokens_per_frame * views + F.col("view")).cast("int")
+    placed = rows.select(*keys, F.floor(F.col("token") / tokens_per_frame).cast("long").alias("frame"), place.alias("place"), F.when(side == 0, entry).alias("first"), F.when(side == 1, entry).alias("second"))
     halves = ["first", "second"] if folded else ["first"]
-    held = placed.groupBy(*keys, "frame").agg(*[F.map_from_entries(F.collect_list(h)).alias(h) for h in halves])
+    held = placed.groupBy(*keys, "frame").agg(*[F.map_from_entries(F.collect_list(h)).alias(h) for h in halves], F.collect_list("place").alias("held"))
     none = F.array_repeat(F.lit(NEUTRAL_BYTE), width)
     pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(*[F.coalesce(F.element_at(F.col(h), r), none) for h in halves])))
-    return held.select(*keys, "frame", F.lit(height).alias("height"), F.lit(full).alias("width"), pixels.alias("pixels"))
+    return held.select(*keys, "frame", F.lit(height).alias("height"), F.lit(full).alias("width"), pixels.alias("pixels"), "held")
 
 
-def frame_rows(frames: DataFrame, model: str, views: int, width: int, tokens: str, keys: list[str] | None = None, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
-    """(keys, token, view, codes): the inverse of token_frames(), without padded views and without tokens from the column `tokens` on."""
+def frame_rows(frames: DataFrame, model: str, views: int, width: int, tokens: str | None = None, keys: list[str] | None = None, tokens_per_frame: int = TOKENS_PER_FRAME) -> DataFrame:
+    """(keys, token, view, codes): the inverse of token_frames(), without padded views and absent rows.
+
+    The rows are those in `held`; with the name of a column `tokens`, frames need no `held` and have all rows of the tokens below it.
+    """
     keys = keys or []
     padded, folded = GEOMETRIES[model]
     filled, _, full = frame_shape(model, views, width, tokens_per_frame)
-    every = F.sequence(F.lit(0), F.lit(tokens_per_frame * views - 1))
-    out = frames.select(*keys, "frame", tokens, "pixels", F.explode(every).alias("_i"))
+    every = F.sequence(F.lit(0), F.lit(tokens_per_frame * views - 1)) if tokens else F.col("held")
+    out = frames.select(*keys, "frame", *([tokens] if tokens else []), "pixels", F.explode(every).alias("_i"))
     view = F.col("_i") % views
     at = (F.floor(F.col("_i") / views) * padded + view % filled) * full + F.floor(view / filled) * width
     token = F.col("frame") * tokens_per_frame + F.floor(F.col("_i") / views)
-    return out.select(*keys, token.cast("long").alias("token"), view.cast("long").alias("view"), F.slice("pixels", (at + 1).cast("int"), width).alias("codes"), tokens).filter(F.col("token") < F.col(tokens)).drop(tokens)
+    out = out.filter(token < F.col(tokens)) if tokens else out
+    return out.select(*keys, token.cast("long").alias("token"), view.cast("long").alias("view"), F.slice("pixels", (at + 1).cast("int"), width).alias("codes"))
 
 
 def pack_array(codes, bits: int) -> bytes:

@@ -168,11 +168,10 @@ def layout_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layout_inverse", f"WITH {INT8} SELECT model, view, token, channel, code FROM coded, {_SHAPES_SQL}")
 def layout_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The codes back from the frames of each geometry, without padded views and tokens."""
-    tokens, out = vectors.rows(spark, sf_dir).agg((F.max("token") + 1).alias("tokens")), None
+    """The codes back from the frames of each geometry, without padded views and absent rows."""
+    out = None
     for model in packing.GEOMETRIES:
-        frames = _frames(spark, sf_dir, model).crossJoin(F.broadcast(tokens))
-        rows = packing.frame_rows(frames, model, VIEWS, WIDTH, "tokens", ["model"])
+        rows = packing.frame_rows(_frames(spark, sf_dir, model), model, VIEWS, WIDTH, keys=["model"])
         cells = rows.select("model", "view", "token", F.posexplode("codes").alias("channel", "code")).withColumn("channel", F.col("channel").cast("long"))
         out = cells if out is None else out.unionByName(cells)
     return out

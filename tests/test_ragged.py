@@ -11,7 +11,7 @@ UNION ALL SELECT vec_id + 4096, embedding, label FROM '{SF}/embeddings.parquet'
 UNION ALL SELECT vec_id + 8192, embedding, label FROM '{SF}/embeddings.parquet' WHERE vec_id = 2"""
 
 
-@pytest.mark.parametrize("name", ["packet_header", "packet_round_trip"])
+@pytest.mark.parametrize("name", ["packet_header", "packet_round_trip", "layout_token_frames", "layout_inverse"])
 def test_missing_rows(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"COPY ({GAPS}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
